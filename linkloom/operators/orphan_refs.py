@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.spelling import anchor_key, path_key
-from linkloom.runtime import MAX_HEAVY_KEYS
+from linkloom.runtime import cut
 
 DAY_US = 86_400_000_000
-#: References of one key and day that stay in one task; beyond it they are spread over several.
-HOT_DAY = 200_000
 
 
 def micros(name: str) -> Column:
@@ -32,48 +30,31 @@ def existence_deltas(rows: DataFrame, keys: list[str], since: str, until: str) -
 def probe(refs: DataFrame, deltas: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``found`` to each reference row (keys, id, v, ...): ok, missing, deleted or late, judged at time v (microseconds).
 
-    A key exists at v if the deltas up to and including v sum to more than zero. Days carry the sums of earlier days, so
-    that a key's references are judged day by day: no task gets all references of a key, and a day of one key with more
-    than HOT_DAY references is spread by the hash of ``id``.
+    A key exists at v if the deltas up to and including v sum to more than zero. Signed counts are kept per key and day:
+    each day has the sums of all earlier days and its own deltas, summed per instant and in order. A reference meets only
+    the state of its key's day, in a join whose skew Spark splits; no window or group holds a key's references.
     """
-    day = F.floor(F.col("t") / DAY_US)
-    ticks = deltas.withColumn("day", day)
-    probes = refs.withColumn("t", F.col("v")).withColumn("day", day)
+    day = F.floor(F.col("t") / DAY_US).alias("day")
+    instants = deltas.groupBy(*keys, "t").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
+    no = F.lit(None).cast("struct<t:bigint,d:bigint,s:bigint>")
     daily = (
-        ticks.select(*keys, "day", "d", "s", F.lit(0).alias("n"))
-        .unionByName(probes.select(*keys, "day", F.lit(0).alias("d"), F.lit(0).alias("s"), F.lit(1).alias("n")))
+        instants.select(*keys, day, "d", "s", F.struct("t", "d", "s").alias("tick"), F.lit(0).alias("asked"))
+        .unionByName(refs.select(*keys, F.floor(F.col("v") / DAY_US).alias("day"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("s"), no.alias("tick"), F.lit(1).alias("asked")))
         .groupBy(*keys, "day")
-        .agg(F.sum("d").alias("d"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+        .agg(F.sum("d").alias("d"), F.sum("s").alias("s"), F.sort_array(F.collect_list("tick")).alias("ticks"), F.max("asked").alias("asked"))
     )
     past = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carry = daily.select(
-        *keys, "day", "n",
+    state = daily.select(
+        *keys, "day", "ticks", "asked",
         F.coalesce(F.sum("d").over(past), F.lit(0)).alias("d"),
         F.coalesce(F.sum("s").over(past), F.lit(0)).alias("s"),
         F.sum("s").over(Window.partitionBy(*keys)).alias("total"),
-    ).where("n > 0")
-    total = daily.agg((F.sum("n") / MAX_HEAVY_KEYS).alias("least"))
-    # at most MAX_HEAVY_KEYS rows, since each holds more than that share of the references
-    hot = daily.join(F.broadcast(total), F.col("n") > F.greatest(F.col("least"), F.lit(HOT_DAY))).select(*keys, "day", F.ceil(F.col("n") / HOT_DAY).cast("int").alias("parts"))
-    at = [*keys, "day"]
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    spread = lambda df: df.join(F.broadcast(hot), at, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    carried = spread(carry.select(*at, F.col("day") * DAY_US - 1, *[F.col(c).cast("bigint") for c in ("d", "s", "total")]).toDF(*at, "t", "d", "s", "total")).withColumn("kind", F.lit(0))
-    stepped = spread(ticks.select(*at, "t", F.col("d").cast("bigint"), F.col("s").cast("bigint"), F.lit(0).cast("bigint").alias("total"))).withColumn("kind", F.lit(1))
-    rest = [c for c in refs.columns if c not in keys]
-    asked = (
-        probes.join(F.broadcast(hot), at, "left")
-        .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        .select(*at, "part", "t", *[F.lit(0).cast("bigint").alias(c) for c in ("d", "s", "total")], F.lit(2).alias("kind"), F.struct(*rest).alias("ref"))
-    )
-    timeline = carried.unionByName(stepped).withColumn("ref", F.lit(None).cast(asked.schema["ref"].dataType)).unionByName(asked)
-    upto = Window.partitionBy(*at, "part").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.when(F.col("sd") > 0, "ok").when(F.col("st") == 0, "missing").when(F.col("ss") == 0, "late").otherwise("deleted")
-    return (
-        timeline.select(*keys, "kind", "ref", F.sum("d").over(upto).alias("sd"), F.sum("s").over(upto).alias("ss"), F.sum("total").over(upto).alias("st"))
-        .where("kind = 2")
-        .select(*keys, "ref.*", found.alias("found"))
-    )
+    ).where("asked = 1").drop("asked")
+    done = F.filter("ticks", lambda x: x["t"] <= F.col("v"))
+    upto = lambda c: F.col(c) + F.aggregate(done, F.lit(0).cast("bigint"), lambda acc, x: acc + x[c])
+    found = F.when(upto("d") > 0, "ok").when(F.col("total") == 0, "missing").when(upto("s") == 0, "late").otherwise("deleted")
+    judged = refs.withColumn("day", F.floor(F.col("v") / DAY_US)).join(state, [*keys, "day"])
+    return judged.select(*refs.columns, found.alias("found"))
 
 
 def current_links(links: DataFrame) -> DataFrame:
@@ -98,7 +79,7 @@ def orphan_links(links: DataFrame, docs: DataFrame, anchors: DataFrame, shared:
     in_shared = marked.where("is_shared and anchor is not null").join(shared_keys, ["doc", "anchor"], "left_anti").select("id", "v", F.lit("shared_docs").alias("missing_table"), F.lit("missing").alias("found"))
 
     versions = docs.select("file_id", path_key(F.col("source_path")).alias("doc"), "ingested_at", "deleted_at").where("doc is not null")
-    judged = probe(marked.where("is_shared is null").select("id", "doc", "anchor", "v"), existence_deltas(versions, ["doc"], "ingested_at", "deleted_at"), ["doc"])
+    judged = cut(probe(marked.where("is_shared is null").select("id", "doc", "anchor", "v"), existence_deltas(versions, ["doc"], "ingested_at", "deleted_at"), ["doc"]))
     in_docs = judged.where("found <> 'ok'").select("id", "v", F.lit("dossier_docs").alias("missing_table"), "found")
 
     defined = (

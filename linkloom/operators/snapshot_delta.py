@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.spelling import path_key, sequence_key, squeezed
+from linkloom.runtime import cut
 
-#: Children of a tree node, as a power of two, and tree levels under the root. 16**3 hash ranges hold about 25 keys each
+#: Children of a tree node, as a power of two, and tree levels under the root. 64**2 hash ranges hold about 25 keys each
 #: in a snapshot of 100,000 keys; deeper trees suit larger snapshots.
-FANOUT_BITS, LEVELS = 4, 3
+FANOUT_BITS, LEVELS = 6, 2
 
 
 def chosen_deliveries(snapshots: DataFrame) -> DataFrame:
@@ -64,6 +65,7 @@ def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
         .groupBy("dossier_id", "ord", F.col("bucket").alias("node"))
         .agg(F.xxhash64(F.expr("bit_xor(h1)"), F.expr("bit_xor(h2)"), F.count(F.lit(1))).alias("digest"))
     )
+    level = cut(level)
     levels = [level]
     for _ in range(LEVELS):
         level = (
@@ -79,14 +81,14 @@ def differing_buckets(levels: list[DataFrame], steps: DataFrame) -> DataFrame:
     a level is only compared below nodes that differed. A side without keys in a range has no digest and differs.
     """
     open_nodes = steps.select("dossier_id", "ord", F.lit(0).cast("bigint").alias("node"))
+    key = ["dossier_id", "ord", "node"]
     for depth, level in enumerate(levels):
-        if depth:
-            base = F.shiftleft("node", FANOUT_BITS)
-            open_nodes = open_nodes.select("dossier_id", "ord", F.explode(F.sequence(base, base + ((1 << FANOUT_BITS) - 1))).alias("node"))
-        now = level.select("dossier_id", "ord", "node", F.col("digest").alias("now"))
-        before = level.select("dossier_id", (F.col("ord") + 1).alias("ord"), "node", F.col("digest").alias("before"))
-        key = ["dossier_id", "ord", "node"]
-        open_nodes = open_nodes.join(now, key, "left").join(before, key, "left").where(~F.col("now").eqNullSafe(F.col("before"))).select(*key)
+        now = level.select(*key, F.col("digest").alias("now"), F.lit(None).cast("bigint").alias("before"))
+        before = level.select("dossier_id", (F.col("ord") + 1).alias("ord"), "node", F.lit(None).cast("bigint").alias("now"), F.col("digest").alias("before"))
+        below = open_nodes.withColumnRenamed("node", "parent")
+        parent = F.shiftright("node", FANOUT_BITS) if depth else F.col("node")
+        both = now.unionByName(before).withColumn("parent", parent).join(below, ["dossier_id", "ord", "parent"], "left_semi")
+        open_nodes = both.groupBy(*key).agg(F.max("now").alias("now"), F.max("before").alias("before")).where("not (now <=> before)").select(*key)
     return open_nodes
 
 
@@ -97,10 +99,10 @@ def snapshot_changes(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
     difference). The lowest sequence yields nothing; a delivery without leaves removes all. Empty tables give no rows;
     further columns are ignored. Rows are compared only inside hash ranges whose digests differ.
     """
-    deliveries = chosen_deliveries(snapshots)
-    leaves = present_leaves(entries, deliveries)
+    deliveries = cut(chosen_deliveries(snapshots))
+    leaves = cut(present_leaves(entries, deliveries))
     steps = deliveries.where("ord > 1")
-    differing = differing_buckets(merkle_levels(leaves), steps).withColumnRenamed("node", "bucket")
+    differing = cut(differing_buckets(merkle_levels(leaves), steps).withColumnRenamed("node", "bucket"))
     key = ["dossier_id", "ord", "bucket"]
     now = leaves.join(differing, key, "left_semi").withColumn("side", F.lit(1))
     before = leaves.withColumn("ord", F.col("ord") + 1).join(differing, key, "left_semi").withColumn("side", F.lit(0))

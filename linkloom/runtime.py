@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +29,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may have ended; the folder is the cluster's to clear then
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder, so that later rounds neither recompute it nor depend on one executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` as a table in the shared folder and reads it back: later stages neither recompute it nor depend on one
+    executor, and the plan starts anew from files of known size. The table goes when Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/linkloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def heavy_keys(df: DataFrame, keys: list[str], least: int = 50_000, share: int = MAX_HEAVY_KEYS) -> DataFrame:
