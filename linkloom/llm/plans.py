@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import mixing, packing
+from linkloom.llm import components, mixing, overlaps, packing
 from linkloom.runtime import table
 
 
@@ -10,6 +10,30 @@ def _capacity(spark, sf_dir) -> int:
     return table(spark, sf_dir, "containers").agg({"capacity_tokens": "max"}).first()[0]
 
 
+def p1_found(spark, sf_dir):
+    return components.linked_groups(table(spark, sf_dir, "refs_dev")).where("size > 1").select("example_id", "group_id")
+
+
+def p1_splits(spark, sf_dir):
+    return components.linked_splits(table(spark, sf_dir, "refs_dev"), table(spark, sf_dir, "split_targets"))
+
+
+def p1_report(spark, sf_dir):
+    return components.split_report(p1_splits(spark, sf_dir), table(spark, sf_dir, "split_targets"))
+
+
+def p5_pairs(spark, sf_dir):
+    return overlaps.cross_split_pairs(table(spark, sf_dir, "refs_dev"))
+
+
+def p5_found(spark, sf_dir):
+    return p5_pairs(spark, sf_dir).select("id_a", "id_b")
+
+
+def p5_report(spark, sf_dir):
+    return overlaps.overlap_report(p5_pairs(spark, sf_dir), table(spark, sf_dir, "refs_dev"))
+
+
 def p6_placements(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), _capacity(spark, sf_dir))
 
@@ -34,7 +58,7 @@ def p7_found(spark, sf_dir):
     return p7_report(spark, sf_dir).where("not reachable").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p6_placements, p6_found, p6_report, p7_mix, p7_report, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p5_pairs, p5_found, p5_report, p6_placements, p6_found, p6_report, p7_mix, p7_report, p7_found)}
 
 SQL = {
     # no text is near the capacity, whatever the tokenizer: here a token is taken as four characters
