@@ -50,10 +50,12 @@ def probe(refs: DataFrame, deltas: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.sum("s").over(past), F.lit(0)).alias("s"),
         F.sum("s").over(Window.partitionBy(*keys)).alias("total"),
     ).where("asked = 1").drop("asked")
-    done = F.filter("ticks", lambda x: x["t"] <= F.col("v"))
-    upto = lambda c: F.col(c) + F.aggregate(done, F.lit(0).cast("bigint"), lambda acc, x: acc + x[c])
-    found = F.when(upto("d") > 0, "ok").when(F.col("total") == 0, "missing").when(upto("s") == 0, "late").otherwise("deleted")
-    judged = refs.withColumn("day", F.floor(F.col("v") / DAY_US)).join(state, [*keys, "day"])
+    sums = F.aggregate(
+        "ticks", F.struct(F.col("d"), F.col("s")),
+        lambda acc, x: F.when(x["t"] <= F.col("v"), F.struct((acc["d"] + x["d"]).alias("d"), (acc["s"] + x["s"]).alias("s"))).otherwise(acc),
+    )
+    found = F.when(F.col("sums.d") > 0, "ok").when(F.col("total") == 0, "missing").when(F.col("sums.s") == 0, "late").otherwise("deleted")
+    judged = refs.withColumn("day", F.floor(F.col("v") / DAY_US)).join(state, [*keys, "day"]).withColumn("sums", F.when(F.size("ticks") == 0, F.struct("d", "s")).otherwise(sums))
     return judged.select(*refs.columns, found.alias("found"))
 
 
@@ -62,10 +64,10 @@ def current_links(links: DataFrame) -> DataFrame:
     link_id or validated_at (they can't be judged at a time) and links without a target are left out; an internal bookmark
     without target_doc points to its own document.
     """
-    last = links.where("link_id is not null and validated_at is not null").select("link_id", F.struct("loaded_at", "validated_at", "link_kind", "source_doc", "target_doc", "target_anchor").alias("r")).groupBy("link_id").agg(F.max("r").alias("r"))
-    given = path_key(F.col("r.target_doc"))
-    own = F.when(F.col("r.link_kind") == "internal_bookmark", path_key(F.col("r.source_doc")))
-    return last.where("r.link_kind is null or r.link_kind <> 'external_url'").select(F.col("link_id").alias("id"), F.coalesce(given, own).alias("doc"), anchor_key(F.col("r.target_anchor")).alias("anchor"), micros("r.validated_at").alias("v")).where("doc is not null")
+    own = F.when(F.col("link_kind") == "internal_bookmark", path_key(F.col("source_doc")))
+    doc = F.when(F.col("link_kind").isNull() | (F.col("link_kind") != "external_url"), F.coalesce(path_key(F.col("target_doc")), own))
+    rows = links.where("link_id is not null and validated_at is not null").select(F.col("link_id").alias("id"), F.struct("loaded_at", micros("validated_at").alias("v"), doc.alias("doc"), anchor_key(F.col("target_anchor")).alias("anchor")).alias("r"))
+    return rows.groupBy("id").agg(F.max("r").alias("r")).where("r.doc is not null").select("id", "r.doc", "r.anchor", "r.v")
 
 
 def orphan_links(links: DataFrame, docs: DataFrame, anchors: DataFrame, shared: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def orphan_links(links: DataFrame, docs: DataFrame, anchors: DataFrame, shared:
     was validated, at most once; status and error_msg are not consulted. Blank anchors ask for no anchor. Empty tables
     give no rows for no links; extra columns are ignored.
     """
-    refs = current_links(links)
+    refs = cut(current_links(links))
     shared_keys = shared.select(path_key(F.col("doc_path")).alias("doc"), anchor_key(F.col("anchor_key")).alias("anchor")).where("doc is not null").distinct()
     marked = refs.join(shared_keys.select("doc").distinct().withColumn("is_shared", F.lit(True)), "doc", "left")
     in_shared = marked.where("is_shared and anchor is not null").join(shared_keys, ["doc", "anchor"], "left_anti").select("id", "v", F.lit("shared_docs").alias("missing_table"), F.lit("missing").alias("found"))
