@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import components, mixing, overlaps, packing
+from linkloom.llm import components, encoding, mixing, overlaps, packing
 from linkloom.runtime import table
 
 
@@ -58,7 +58,15 @@ def p7_found(spark, sf_dir):
     return p7_report(spark, sf_dir).where("not reachable").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p5_pairs, p5_found, p5_report, p6_placements, p6_found, p6_report, p7_mix, p7_report, p7_found)}
+def p8_restored(spark, sf_dir):
+    return encoding.restore_texts(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark, sf_dir):
+    return encoding.damaged_chunks(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p5_pairs, p5_found, p5_report, p6_placements, p6_found, p6_report, p7_mix, p7_report, p7_found, p8_restored, p8_found)}
 
 SQL = {
     # no text is near the capacity, whatever the tokenizer: here a token is taken as four characters
