@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import components, encoding, mixing, overlaps, packing
+from linkloom.llm import components, encoding, mixing, overlaps, packing, scans
 from linkloom.runtime import table
 
 
@@ -22,6 +22,14 @@ def p1_report(spark, sf_dir):
     return components.split_report(p1_splits(spark, sf_dir), table(spark, sf_dir, "split_targets"))
 
 
+def p4_found(spark, sf_dir):
+    return scans.scan_noise(table(spark, sf_dir, "ocr_pages"))
+
+
+def p4_paragraphs(spark, sf_dir):
+    return scans.scan_paragraphs(table(spark, sf_dir, "ocr_pages"))
+
+
 def p5_pairs(spark, sf_dir):
     return overlaps.cross_split_pairs(table(spark, sf_dir, "refs_dev"))
 
@@ -66,7 +74,7 @@ def p8_found(spark, sf_dir):
     return encoding.damaged_chunks(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p5_pairs, p5_found, p5_report, p6_placements, p6_found, p6_report, p7_mix, p7_report, p7_found, p8_restored, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_paragraphs, p5_pairs, p5_found, p5_report, p6_placements, p6_found, p6_report, p7_mix, p7_report, p7_found, p8_restored, p8_found)}
 
 SQL = {
     # no text is near the capacity, whatever the tokenizer: here a token is taken as four characters
