@@ -171,8 +171,12 @@ def near_classes(classes: DataFrame) -> DataFrame:
         b,
         (F.col("a.fp") == F.col("b.fp")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.class") != F.col("b.class"))
         & (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (F.abs(F.col("a.pos") - F.col("b.pos")) <= most) & (bits <= 2 * most),
-    ).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), F.struct(F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).alias("seed"))
-    pairs = met.groupBy("class_a", "class_b").agg(F.collect_set("seed").alias("seeds"))  # at most one seed per word
+    ).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), F.struct(F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).alias("seed"), F.greatest("a.n", "b.n").alias("n"))
+    pairs = met.groupBy("class_a", "class_b").agg(F.collect_set("seed").alias("seeds"), F.max("n").alias("n"))  # at most one seed per word
+    # Of a longer text of n words with d edits, at most d + 1 runs of 3 equal words hold no window; each further 2 equal words
+    # hold at least one minimum. No near-same pair has fewer seeds than that.
+    least = F.greatest(F.lit(1), F.ceil((F.col("n") - 4 * F.floor(F.col("n") / EDIT_SHARE) - 3) / 2))
+    pairs = pairs.where(F.size(F.array_distinct(F.transform("seeds", lambda s: s["i"]))) >= least)
     words = classes.select("class", "words")
     texts = pairs.join(words.toDF("class_a", "words_a"), "class_a").join(words.toDF("class_b", "words_b"), "class_b")
     return texts.mapInArrow(_align, "class_a bigint, class_b bigint, n_edits int, n_words int")
