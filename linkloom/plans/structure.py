@@ -218,7 +218,7 @@ def res_15_unresolved(spark, sf_dir):
     return l.join(known, "doc", "left_anti").select("link_id")
 
 
-_LEAVES = f"(SELECT leaf_id, arg_min(lower(module), entry_id) AS module, arg_min(title, entry_id) AS title, arg_min(relative_path, entry_id) AS path, min(entry_id) AS ord FROM {ENTRIES} GROUP BY 1)"
+_LEAVES = f"(SELECT leaf_id, arg_min_null(lower(module), entry_id) AS module, arg_min_null(title, entry_id) AS title, arg_min_null(relative_path, entry_id) AS path, min(entry_id) AS ord FROM {ENTRIES} GROUP BY 1)"
 
 
 def leaves(spark, sf_dir):
