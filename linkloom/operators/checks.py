@@ -102,7 +102,7 @@ def _survives(titles: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def sjis_round_trip(title: Column) -> Column:
     """Whether a title survives Shift-JIS; null titles do. (Spark's encode knows no Shift-JIS, so Arrow batches do it.)"""
-    return F.pandas_udf(_survives, "boolean", F.PandasUDFType.SCALAR_ITER)(title)
+    return F.pandas_udf(_survives, "boolean")(title)
 
 
 def evaluate_rules(rules: list[dict], facts: dict[str, DataFrame], regions: list[str] | None = None) -> DataFrame | None:
