@@ -45,6 +45,17 @@ NER_SPECS = [
     ("NER_SEQUENCE_REF_V1", "SEQUENCE_REF", r"\b(?i:sequence)\s+\d{4}\b"),
 ]
 
+#: What a text in lower case must hold, at least one of, for a pattern to match at all: a cheap search before the pattern runs.
+NEEDS = {
+    "STUDY_ID_SPONSOR_V1": ["-"], "STUDY_ID_PROTOCOL_V1": ["prot-"], "STUDY_ID_NCT_V1": ["nct"], "URL_V1": ["://"], "SECTION_REF_DOTTED_V1": ["."],
+    "SECTION_REF_LABELED_V1": ["sec"], "SECTION_REF_SIGIL_V1": ["§"], "TABLE_REF_NUMBERED_V1": ["table"], "FIGURE_REF_NUMBERED_V1": ["figure"],
+    "FIGURE_REF_LETTER_V1": ["figure"], "LISTING_REF_NUMBERED_V1": ["listing"], "APPENDIX_REF_NUMBERED_V1": ["appendix"], "APPENDIX_REF_LETTER_V1": ["appendix"],
+    "DOC_REF_PROTOCOL_V1": ["protocol"], "DOC_REF_SAP_V1": ["statistical", "sap"], "DOC_REF_CSR_V1": ["clinical", "csr"], "DOC_REF_ISS_V1": ["integrated", "iss"],
+    "DOC_REF_ISE_V1": ["integrated", "ise"], "DOC_ID_V1": ["_"], "CTD_LEAF_PATH_V1": ["m1/", "m2/", "m3/", "m4/", "m5/"], "CTD_LEAF_MODULE_V1": ["module"],
+    "EXT_REF_ICH_V1": ["ich"], "EXT_REF_CFR_V1": ["cfr"], "EXT_REF_HELSINKI_V1": ["helsinki"], "EXT_REF_DOI_V1": ["10."], "VISIT_REF_V1": ["visit"],
+    "NER_FORM_REF_V1": ["form"], "NER_SITE_CODE_V1": ["site", "cent"], "NER_IMP_BATCH_V1": ["batch", "lot"], "NER_AE_CODE_V1": ["meddra"], "NER_SEQUENCE_REF_V1": ["sequence"],
+}
+
 # Words near a bare dotted number that make it a section, and what makes it a statistic.
 SECTION_CUES = [
     "section", "§", "subsection", "see", "refer", "described in", "defined in", "specified in", "presented in",

@@ -28,11 +28,15 @@ def spans(text: Column, regex: str) -> Column:
 def _positions(hits: Column, gaps: Column) -> Column:
     size = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + F.length(x))
 
-    def place(hit: Column, i: Column) -> Column:
-        start = size(F.slice(gaps, 1, i + 1)) + size(F.slice(hits, 1, i))
-        return F.struct(start.alias("span_start"), (start + F.length(hit)).alias("span_end"), hit.alias("text"))
+    def place(both: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            start = size(F.slice(both["gaps"], 1, i + 1)) + size(F.slice(both["hits"], 1, i))
+            return F.struct(start.alias("span_start"), (start + F.length(hit)).alias("span_end"), hit.alias("text"))
 
-    return F.transform(hits, place)
+        return F.transform(both["hits"], one)
+
+    # bound to a lambda variable, so that the pattern runs once per text and not once per match
+    return F.flatten(F.transform(F.array(F.struct(hits.alias("hits"), gaps.alias("gaps"))), place))
 
 
 def near_cue(text: Column, start: Column, end: Column, cues: Iterable[str], window: int) -> Column:
@@ -78,9 +82,21 @@ def pattern_matches(p: P.Pattern, text: Column) -> Column:
     )
 
 
-def all_matches(text: Column, patterns: Iterable[P.Pattern]) -> Column:
-    """Matches of all patterns in registry order, overlaps kept."""
-    return F.concat(*[F.when(F.rlike(text, F.lit(p.regex)), pattern_matches(p, text)).otherwise(F.array().cast("array<struct<pattern_id:string,label:string,source_layer:string,confidence:double,span_start:int,span_end:int,text:string,ordinal:int>>")) for p in patterns])
+_MATCHES = "array<struct<pattern_id:string,label:string,source_layer:string,confidence:double,span_start:int,span_end:int,text:string,ordinal:int>>"
+
+
+def may_match(p: P.Pattern, low: Column) -> Column:
+    """Whether a text in lower case holds what a pattern needs; true for patterns nothing is known of."""
+    found = F.lit(p.id not in P.NEEDS)
+    for sign in P.NEEDS.get(p.id, []):
+        found = found | F.contains(low, F.lit(sign))
+    return found
+
+
+def all_matches(text: Column, low: Column, patterns: Iterable[P.Pattern]) -> Column:
+    """Matches of all patterns in registry order, overlaps kept; ``low`` is the text in lower case."""
+    none = F.array().cast(_MATCHES)
+    return F.concat(*[F.when(may_match(p, low) & F.rlike(text, F.lit(p.regex)), pattern_matches(p, text)).otherwise(none) for p in patterns])
 
 
 def resolve_overlaps(matches: Column) -> Column:
@@ -100,7 +116,8 @@ def detect(units: DataFrame, mode: str = "regex+ner", visits: bool = False, reso
     """One row per reference: (unit columns but text, match fields). Resolution runs inside each unit: no shuffle."""
     keys = [c for c in units.columns if c != "text"]
     # explode of a one-element array keeps the optimizer from copying the matches into every place that uses them
-    found = units.select(*keys, F.explode(F.array(all_matches(F.col("text"), P.registry(mode, visits)))).alias("found")).where(F.size("found") > 0)
+    lowered = units.select(*keys, F.explode(F.array(F.struct("text", F.lower("text").alias("low")))).alias("u"))
+    found = lowered.select(*keys, F.explode(F.array(all_matches(F.col("u.text"), F.col("u.low"), P.registry(mode, visits)))).alias("found")).where(F.size("found") > 0)
     if resolve:
         found = found.withColumn("found", F.when(F.size("found") > 1, resolve_overlaps(F.col("found"))).otherwise(F.col("found")))
     return found.select(*keys, F.explode("found").alias("m")).select(*keys, "m.*").drop("ordinal")
