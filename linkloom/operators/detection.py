@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import patterns as P
+from linkloom.runtime import spread
 
 
 def text_units(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,7 +117,7 @@ def detect(units: DataFrame, mode: str = "regex+ner", visits: bool = False, reso
     """One row per reference: (unit columns but text, match fields). Resolution runs inside each unit: no shuffle."""
     keys = [c for c in units.columns if c != "text"]
     # explode of a one-element array keeps the optimizer from copying the matches into every place that uses them
-    lowered = units.select(*keys, F.explode(F.array(F.struct("text", F.lower("text").alias("low")))).alias("u"))
+    lowered = spread(units).select(*keys, F.explode(F.array(F.struct("text", F.lower("text").alias("low")))).alias("u"))
     found = lowered.select(*keys, F.explode(F.array(all_matches(F.col("u.text"), F.col("u.low"), P.registry(mode, visits)))).alias("found")).where(F.size("found") > 0)
     if resolve:
         found = found.withColumn("found", F.when(F.size("found") > 1, resolve_overlaps(F.col("found"))).otherwise(F.col("found")))
