@@ -69,3 +69,26 @@ def set_scores(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFr
     n = both.agg(F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("tp"), F.count("p").alias("np"), F.count("g").alias("ng"))
     p, r = rate(F.col("tp"), F.col("np"), 1.0), rate(F.col("tp"), F.col("ng"), 1.0)
     return n.select("tp", p.alias("precision"), r.alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
+
+
+def apply_edits(rows: DataFrame, edits: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``rows`` with edited values: an edit changes every row of its key, and only the fields it gives (null gives none)."""
+    changed = edits.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])
+    both = rows.join(changed, keys, "left")
+    return both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns])
+
+
+def blueish(color: Column, tolerance: int = 40) -> Column:
+    """Whether a colour of six hex digits is blue: its blue is 128 or more and exceeds red and green by ``tolerance``."""
+    part = lambda k: F.conv(F.substring(color, k, 2), 16, 10).cast("int")
+    return F.coalesce(F.rlike(color, F.lit("^[0-9A-Fa-f]{6}$")) & (part(5) >= 128) & (part(5) - F.greatest(part(1), part(3)) >= tolerance), F.lit(False))
+
+
+def packed_color(value: Column) -> Column:
+    """Six hex digits of a colour packed in an integer."""
+    return F.lpad(F.hex(value.cast("bigint").bitwiseAND(F.lit(0xFFFFFF))), 6, "0")
+
+
+def link_class(kind: Column, source: Column, target: Column) -> Column:
+    """external, internal (no target or the document itself) or cross_doc."""
+    return F.when(kind == "external_url", "external").when(target.isNull() | (target == source), "internal").otherwise("cross_doc")

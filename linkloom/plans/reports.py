@@ -344,3 +344,60 @@ def src_11_12_snapshot_facts(spark, sf_dir):
 def src_14_first_leaf_wins(spark, sf_dir):
     e = entries(spark, sf_dir)
     return e.groupBy("leaf_id").agg(F.min_by("title", "entry_id").alias("title"), F.min_by("operation", "entry_id").alias("operation"))
+
+
+@query(f"SELECT class, count(*) AS n, count(DISTINCT source) AS n_documents FROM (SELECT CASE WHEN link_kind = 'external_url' THEN 'external' WHEN t IS NULL OR t = source THEN 'internal' ELSE 'cross_doc' END AS class, source FROM (SELECT link_kind, {_path('target_doc')} AS t, {_path('source_doc')} AS source FROM {LINKS})) GROUP BY 1")
+def qry_09_link_classes(spark, sf_dir):
+    l = links(spark, sf_dir).select("link_kind", path_key(F.col("target_doc")).alias("t"), path_key(F.col("source_doc")).alias("source"))
+    return l.groupBy(P.link_class(F.col("link_kind"), F.col("source"), F.col("t")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("n_documents"))
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN source_doc IN (SELECT source_doc FROM {LINKS} WHERE status = 'suspicious') THEN 'suspicious' ELSE status END AS status FROM {LINKS}) GROUP BY 1")
+def qry_05_edited_links(spark, sf_dir):
+    """Every link of a document with a suspicious link becomes suspicious: an edit by document."""
+    l = links(spark, sf_dir)
+    edits = l.where("status = 'suspicious'").select("source_doc").distinct().withColumn("status", F.lit("suspicious"))
+    return P.apply_edits(l.select("source_doc", "status"), edits, ["source_doc"], ["status"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT source, para, count(*) AS n FROM (SELECT {_path('source_doc')} AS source, CAST(nullif(regexp_extract(link_location_descriptor, '^p([0-9]+)', 1), '') AS INT) AS para FROM {LINKS}) GROUP BY 1, 2")
+def aux_13_links_per_paragraph(spark, sf_dir):
+    para = F.nullif(F.regexp_extract("link_location_descriptor", "^p([0-9]+)", 1), F.lit("")).cast("int")
+    return links(spark, sf_dir).groupBy(path_key(F.col("source_doc")).alias("source"), para.alias("para")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT entry_id, c AS color, (b >= 128 AND b - greatest(r, g) >= 40) AS blue FROM (SELECT entry_id, c, CAST('0x' || c[1:2] AS INT) AS r, CAST('0x' || c[3:4] AS INT) AS g, CAST('0x' || c[5:6] AS INT) AS b FROM (SELECT entry_id, substring(checksum, 1, 6) AS c FROM {ENTRIES} WHERE checksum IS NOT NULL AND regexp_matches(checksum, '^[0-9a-fA-F]{{6}}')))")
+def par_05_blue(spark, sf_dir):
+    e = entries(spark, sf_dir).where("checksum is not null").where(F.rlike("checksum", F.lit("^[0-9a-fA-F]{6}")))
+    return e.select("entry_id", F.substring("checksum", 1, 6).alias("color")).withColumn("blue", P.blueish(F.col("color")))
+
+
+@query("SELECT event_id, lpad(upper(format('{:x}', (event_id * 7919) & 16777215)), 6, '0') AS color FROM events")
+def par_07_packed_colors(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", P.packed_color(F.col("event_id") * 7919).alias("color"))
+
+
+@query("SELECT page_id, count(*) AS n_words, count(*) FILTER (w.text = substring(p.text, w.char_start + 1, w.char_end - w.char_start)) AS n_placed FROM (SELECT DISTINCT page_id, word_no, text, char_start, char_end FROM ocr_words) w JOIN (SELECT DISTINCT page_id, text FROM ocr_pages) p USING (page_id) GROUP BY 1")
+def src_07_word_places(spark, sf_dir):
+    w = table(spark, sf_dir, "ocr_words").select("page_id", "word_no", F.col("text").alias("word"), "char_start", "char_end").distinct()
+    p = table(spark, sf_dir, "ocr_pages").select("page_id", "text").distinct()
+    placed = F.col("word") == F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return w.join(p, "page_id").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(placed).alias("n_placed"))
+
+
+_SIM = f"(SELECT DISTINCT l.link_id, CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END AS s FROM (SELECT l.link_id, {_TOK('l.link_text')} AS x, {_TOK('a.title')} AS y FROM {_L} l JOIN {_DEFA} a ON a.doc = l.doc AND a.anchor = l.anchor) l)"
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN l.status = 'ok' AND s.s < 0.75 THEN 'suspicious' ELSE l.status END AS status FROM {LINKS} l LEFT JOIN {_SIM} s USING (link_id)) GROUP BY 1")
+def val_07_annotated(spark, sf_dir):
+    sim = val_05_text_similarity(spark, sf_dir)
+    l = links(spark, sf_dir).select("link_id", "status").join(sim, "link_id", "left")
+    status = F.when((F.col("status") == "ok") & (F.col("similarity") < 0.75), "suspicious").otherwise(F.col("status"))
+    return l.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT kind, severity, count(*) AS n FROM (SELECT 'deprecated' AS kind, 'blocker' AS severity FROM ({SQL['ano_03_withdrawn_ids']}) UNION ALL SELECT 'suspicious_target', 'warning' FROM ({SQL['ano_04_suspicious_targets']}) UNION ALL SELECT 'orphaned', 'warning' FROM ({SQL['ano_02_unlinked_references']})) GROUP BY 1, 2")
+def ano_06_summary(spark, sf_dir):
+    tag = lambda df, k, s: df.select(F.lit(k).alias("kind"), F.lit(s).alias("severity"))
+    both = tag(ano_03_withdrawn_ids(spark, sf_dir), "deprecated", "blocker").unionByName(tag(ano_04_suspicious_targets(spark, sf_dir), "suspicious_target", "warning")).unionByName(tag(ano_02_unlinked_references(spark, sf_dir), "orphaned", "warning"))
+    return both.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
