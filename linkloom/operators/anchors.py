@@ -10,6 +10,8 @@ CAPTION_WORDS = {"TABLE_REF": "Table", "FIGURE_REF": "Figure", "LISTING_REF": "L
 CAPTION_NUMBERS = {"APPENDIX_REF": r"\d+(?:\.\d+){0,3}|[A-Za-z]"}
 NUMBER = r"\d+(?:[.\-]\d+){0,4}"
 CONTENTS_LINE = r"\.{3,}|(?:\.\s){3,}|…|(?:·\s*){3,}"
+#: Spelt out, as what \b takes for a word differs between Java's versions.
+WORD_SIGN = r"[\p{L}\p{N}_]"
 HEADING = r"^(\d{1,2}(?:\.\d{1,3}){0,3})\.?\s+([A-Za-z].*)$"
 LONGEST_CAPTION, LONGEST_HEADING = 200, 80
 
@@ -55,8 +57,8 @@ def heading_number(text: Column) -> Column:
 
 
 def first_number(text: Column) -> Column:
-    """The first dotted number of a title; null if there is none."""
-    return F.nullif(F.regexp_extract(text, r"\b(\d+(?:\.\d+){0,4})\b", 1), F.lit(""))
+    """The first dotted number of a line, between Unicode word bounds; null if there is none."""
+    return F.nullif(F.regexp_extract(text, rf"(?<!{WORD_SIGN})(\p{{Nd}}+(?:\.\p{{Nd}}+){{0,4}})(?!{WORD_SIGN})", 1), F.lit(""))
 
 
 def caption_definitions(units: DataFrame) -> DataFrame:

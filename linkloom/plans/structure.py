@@ -88,8 +88,7 @@ def anc_07_first_wins(spark, sf_dir):
 
 @query("SELECT doc_id, line_no, regexp_extract(text, '\\b([0-9]+(?:\\.[0-9]+){0,4})\\b', 1) AS num FROM " + UNITS + " WHERE length(text) <= 80 AND regexp_matches(text, '\\b([0-9]+(?:\\.[0-9]+){0,4})\\b') AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
 def anc_06_first_number(spark, sf_dir):
-    u = units(spark, sf_dir).where("length(text) <= 80").where(~F.rlike("text", F.lit(r"[^\x00-\x7f]")))
-    return u.select("doc_id", "line_no", A.first_number(F.col("text")).alias("num")).where("num is not null")
+    return units(spark, sf_dir).select("doc_id", "line_no", A.first_number(F.col("text")).alias("num")).where("num is not null")
 
 
 @query("SELECT page_id, body_size, chars FROM (SELECT page_id, s AS body_size, CAST(sum(length(text)) AS BIGINT) AS chars, row_number() OVER (PARTITION BY page_id ORDER BY sum(length(text)) DESC, s) AS r FROM (SELECT DISTINCT page_id, word_no, text, CAST(round(y1_px - y0_px) AS INT) AS s FROM ocr_words) GROUP BY page_id, s) WHERE r = 1")
