@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.lost_signs import LOST, fill_lost, split
 from linkloom.runtime import cut, join_unique
 
 #: Encodings a text may have been read in by mistake, and single-byte encodings it may have been written in.
@@ -24,10 +25,8 @@ UNSEEN = 0.1
 #: Distinct forms a task counts before it hands its counts on.
 FLUSH = 300_000
 
-_GAP = re.compile(r"[ \t\r\n]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
-LOST = "�"
 
 
 def _bytes_of(encoding: str) -> dict[str, int]:
@@ -191,7 +190,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            chunks = _GAP.split(text) if "\t" in text or "\r" in text or "\n" in text else text.split(" ")
+            chunks = split(text)
             seen.update(chunks)
             if not text.isascii():
                 rows += [("o", c, 1, doc_id, i) for i, c in enumerate(chunks) if not c.isascii()]
@@ -256,7 +255,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, r in zip(chunks, path):
                 text = r["text"] if r and r["text"] != c["raw"] else None
                 if LOST in c["raw"]:
-                    text = c["filled"] or c["raw"]
+                    text = text or c["raw"]
                 if text is not None:
                     fix.append({"pos": c["pos"], "text": text})
             if fix:
@@ -267,7 +266,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def damaged_chunks(documents: DataFrame) -> DataFrame:
     """(doc_id, fixes): of each document with damage, the places of its damaged chunks (runs between white space) and their
-    restored text; chunks whose lost signs no known form fills stay as they are.
+    restored text, in which lost signs still stand (see fill_lost).
 
     Frequencies are counted over all documents and joined to the readings of the distinct suspect chunks; documents meet
     readings by chunk. Nothing that grows with the documents is broadcast or collected.
@@ -282,15 +281,11 @@ def damaged_chunks(documents: DataFrame) -> DataFrame:
     known = needs.join(counts.withColumnRenamed("form", "token"), "token", "left").groupBy("raw").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("token", "n"))).alias("known"))
     readings = known.crossJoin(F.broadcast(total)).mapInArrow(_readings, "raw string, readings array<struct<channel:string,text:string,gain:double>>")  # total: one row
 
-    # lost signs: the most frequent sound form with the same signs around the gaps
-    bones = lambda c: F.regexp_replace(c, r"[^\x{0}-\x{7f}]", LOST)
-    forms = raws.where(~F.contains("raw", F.lit(LOST))).groupBy(bones(F.col("raw")).alias("bones")).agg(F.max(F.struct("n", "raw"))["raw"].alias("filled"))
-    filled = raws.where(F.contains("raw", F.lit(LOST))).select("raw", bones(F.col("raw")).alias("bones")).join(forms, "bones").select("raw", "filled")
-    scored = cut(readings.join(filled, "raw", "left"))
+    scored = cut(readings)
     suspect = scored.where(F.contains("raw", F.lit(LOST)) | F.exists("readings", lambda r: r["gain"] > 0)).select("raw")
     docs = cut(join_unique(places.select("doc_id", "raw"), suspect, ["raw"], "left_semi").select("doc_id").distinct())
     inside = places.join(docs, "doc_id", "left_semi")
-    texts = join_unique(inside, scored, ["raw"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "raw", "readings", "filled")).alias("chunks"))  # one document's chunks
+    texts = join_unique(inside, scored, ["raw"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "raw", "readings")).alias("chunks"))  # one document's chunks
     return texts.mapInArrow(_decode, "doc_id bigint, fixes array<struct<pos:int,text:string>>")
 
 
@@ -309,8 +304,13 @@ def restore_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, restored, n_fixes) of every document that holds garbled signs, restorable or not.
 
     Sound but unusual signs and decomposed accents are left alone: a reading replaces a chunk only where the corpus, or the
-    structure of UTF-8, makes it clearly likelier, alone or together with its neighbours. Null and empty texts hold none;
+    structure of UTF-8, makes it clearly likelier, alone or together with its neighbours. Lost signs are filled by fill_lost;
+    chunks whose lost signs no known form fills stay as they are. Null and empty texts hold none;
     an empty table gives no rows. doc_id is taken as unique; extra columns are ignored.
     """
     fixes = cut(damaged_chunks(documents))
+    found = fixes.select("doc_id", F.explode("fixes").alias("f")).select("doc_id", "f.pos", "f.text")
+    filled = fill_lost(documents, fixes).withColumnRenamed("text", "filled")
+    whole = found.join(filled, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("filled", "text").alias("text"))
+    fixes = cut(whole.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "text")).alias("fixes")))  # one document's chunks
     return documents.where("text is not null").select("doc_id", "text").join(fixes, "doc_id").mapInArrow(_patch, "doc_id bigint, restored string, n_fixes int")
