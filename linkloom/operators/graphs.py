@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +40,19 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(edges.select(F.explode(F.array("src", "dst")).alias("node")), "node", "left_anti")
 
 
-def cycle_nodes(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _rounds(max_rounds: int | None) -> Iterator[int]:
+    """1, 2, ... for a loop that ends by itself; an error, never a partial result, where a bound is given and met."""
+    yield from itertools.count(1) if max_rounds is None else range(1, max_rounds + 1)
+    raise RuntimeError(f"not finished after {max_rounds} rounds")
+
+
+def cycle_nodes(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node): nodes on a cycle or on a path between cycles. Nodes without incoming or without outgoing edges are trimmed,
     round by round, until none is left; each round is written to the shared folder. A link to itself is a cycle of one.
     """
     left = cut(edges.select("src", "dst").distinct())
     n = left.count()
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds):
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         left = cut(kept.select("src", "dst"))
         m = left.count()
@@ -53,15 +62,17 @@ def cycle_nodes(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(source, node, hops): shortest number of edges from each source to each node it reaches; breadth first, a round per hop."""
     reached = frontier = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")).distinct())
-    for hop in range(1, max_rounds + 1):
+    for hop in _rounds(max_rounds):
         nxt = frontier.join(edges, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
         frontier = cut(nxt.join(reached.select("source", "node"), ["source", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if hop % 50 == 0:
+            reached = cut(reached)  # keeps the plan of a long chain short
     return reached
 
 
