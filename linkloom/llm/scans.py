@@ -3,80 +3,34 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.runtime import cut, join_unique
+from linkloom.llm import scan_lattice as L
+from linkloom.llm.scan_lattice import folds, id_like
+from linkloom.runtime import cut, join_unique, spread
 
-# What scanners make of signs, as (read, meant).
-CONFUSIONS = [
-    ("é", "e"), ("è", "e"), ("í", "i"), ("c", "e"), ("(", "c"), ("f", "t"), ("o", "a"), ("0", "o"), ("1", "i"), ("1", "l"), ("|", "l"), ("|", "i"), ("!", "l"), ("l", "i"), ("i", "l"),
-    ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("b", "h"), ("v", "y"), ("ri", "n"), ("rn", "m"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("h", "li"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"),
-]
 #: Lines from the top and from the foot of a page where running heads and page numbers stand.
 MARGIN = 3
+#: Distinct counts a task holds before it hands them on.
+FLUSH = 300_000
 #: A margin line recurs if this share of its scan's pages, and two pages at least, have it.
 RECURS = 0.25
-#: A plain word counts as misread if the word it may stand for is so many times more frequent.
-RATIO = 8
-#: Words seen at most so often are looked up as two words run together, or as part of a word torn apart.
-SELDOM = 2
-#: Viterbi costs of a token that stays although a reading is known, of a confusion, and of a joint or a parting.
-UNKNOWN, CONFUSED, JOINED = 6.0, 2.0, 1.0
 #: Costs of paragraph boundaries: each paragraph, a blank line inside one, an end without a full stop, a short line inside
 #: one, a start in lower case.
 PARAGRAPH, BLANK_INSIDE, OPEN_END, SHORT_INSIDE, LOW_START = 2.0, 5.0, 4.0, 1.0, 4.0
 
-BREAKS = "-‐\xad¬"
 _DIGITS = str.maketrans("lI|OoSZBbgq", "11100528699")
 _NUM = r"[0-9lI|OoSZBbgq]{1,4}"
-_ID = re.compile(r"[A-Z]{3}-[0-9]{4}-[0-9]{3}")
-_ID_LIKE = re.compile(r"[A-Z0-9|(]{2,5}-[0-9A-Za-z|]{4}-[0-9A-Za-z|]{3}")
 _ROMAN = re.compile(r"[ivxlc]+")
-_CORE = re.compile(r"^[\"'“”‘’\[{(]*(.*?)[\"'“”‘’\]})!?.,;:]*$")
 _STYLED = [re.compile(p) for p in (rf"\[\s*({_NUM})\s*\]", rf"\(\s*({_NUM})\s*\)", rf"[-–—]\s*({_NUM})\s*[-–—]", rf"([A-Za-zé]{{1,5}})\.?\s*({_NUM})(?:\s*(?:of|0f|oí|/)\s*{_NUM})?")]
 _PLAIN = [re.compile(rf"({_NUM})\s*/\s*{_NUM}"), re.compile(rf"({_NUM})")]
 
 
-@lru_cache(maxsize=100_000)
-def folds(word: str) -> tuple[str, ...]:
-    """Keys under which a word and whatever it may be misread as meet; two, since confusions of several signs may overlap."""
-    w = unicodedata.normalize("NFKD", word.lower())
-    w = "".join(s for s in w if not unicodedata.combining(s))
-    w = w.translate(str.maketrans("1|!l0(569", "iiiioesbg")).replace("c", "e").replace("a", "o").replace("f", "t").replace("y", "v").replace("8", "b")
-    out = []
-    for order in (("ii", "ri"), ("ei", "ri", "ii")):
-        x = w.replace("vv", "w")
-        for pair in (*order, "ei"):
-            x = x.replace(pair, {"ii": "b", "ri": "n", "ei": "d"}[pair])
-        out.append(x.replace("rn", "m").replace("u", "b").replace("h", "b"))
-    return tuple(dict.fromkeys(out))
-
-
-def confusions_between(read: str, meant: str) -> int | None:
-    """Fewest confusions that turn ``meant`` into ``read``; None if they can't."""
-    far = 10**6
-    best = [[far] * (len(meant) + 1) for _ in range(len(read) + 1)]
-    best[0][0] = 0
-    for i in range(len(read) + 1):
-        for j in range(len(meant) + 1):
-            at = best[i][j]
-            if at == far:
-                continue
-            if i < len(read) and j < len(meant) and read[i] == meant[j]:
-                best[i + 1][j + 1] = min(best[i + 1][j + 1], at)
-            for r, m in CONFUSIONS:
-                if read.startswith(r, i) and meant.startswith(m, j):
-                    best[i + len(r)][j + len(m)] = min(best[i + len(r)][j + len(m)], at + 1)
-    return best[-1][-1] if best[-1][-1] < far else None
-
-
 def page_number(line: str) -> tuple[int, bool] | None:
     """(number, whether its form shows that it is one) of a line that holds a number alone, allowing misread digits."""
     t = line.strip()
@@ -101,38 +55,13 @@ def page_number(line: str) -> tuple[int, bool] | None:
 
 def head_key(line: str) -> str:
     """What a running head keeps from page to page: its words, without numbers, in folded signs."""
-    words = [w for w in re.split(r"\s+", line.strip()) if 3 * sum(s.isdigit() for s in w) < len(w) and not _ID_LIKE.fullmatch(w.strip(".,;:()"))]
+    words = [w for w in re.split(r"\s+", line.strip()) if 3 * sum(s.isdigit() for s in w) < len(w) and not id_like(w)]
     words = [w for w in words if not (set(folds(w)) & {*folds("page"), *folds("of"), *folds("p.")}) and not re.fullmatch(r"[-–—/|lIO\[\]]+", w)]
     if len(words) > 1 and re.fullmatch(r"[-–—(\[]*[ivxlcIVXLC]+[-–—)\]]*", words[-1]):
         words.pop()
     return re.sub(r"\W|_", "", folds("".join(words))[0])
 
 
-def core_of(token: str) -> str:
-    """A token without outer punctuation, in lower case; an opening bracket that isn't closed stays if letters follow."""
-    if token.startswith("(") and ")" not in token and token[1:2].isalpha():
-        return "(" + _CORE.match(token)[1].lower()
-    core = _CORE.match(token)[1].lower()
-    return core[:-2] if core.endswith(("'s", "’s")) else core
-
-
-def parts_of(token: str) -> list[str]:
-    """The words of a token that can be judged: the parts of compounds; numbers, units and study ids are none."""
-    core = core_of(token)
-    if not core or "/" in core or _ID_LIKE.fullmatch(token.strip(".,;:()\"'")):
-        return []
-    return [p for p in re.split(r"[-‐]", core) if len(p) > 1 and any(s.isalpha() for s in p)]
-
-
-def misread_id(token: str) -> bool:
-    t = token.strip(".,;:()\"'[]")
-    return bool(_ID_LIKE.fullmatch(t)) and not _ID.fullmatch(t) and sum(s.isdigit() for s in t) >= 4
-
-
-def _lettered(line: str) -> bool:
-    return any(s.isalpha() for s in line)
-
-
 _LINES = pa.schema([("page_id", pa.int64()), ("scan_id", pa.string()), ("page_index", pa.int32()), ("line_no", pa.int32()), ("text", pa.string()), ("margin", pa.bool_()), ("key", pa.string()), ("number", pa.int32()), ("styled", pa.bool_())])
 _LINES_DDL = "page_id bigint, scan_id string, page_index int, line_no int, text string, margin boolean, key string, number int, styled boolean"
 
@@ -176,180 +105,174 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 
 def body_pages(lines: DataFrame) -> DataFrame:
-    """(page_id, scan_id, page_index, lines, next_line): a page's body lines in order, and the line its text goes on with."""
+    """(page_id, scan_id, page_index, lines, next_line, next_page, next_no, carried): a page's body lines in order, the line its
+    text goes on with, and whether its first word began on the page before. A page without words in its body ends the text
+    that would go on there.
+    """
     body = lines.where("noise is null")
     pages = body.groupBy("page_id", "scan_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("lines"))  # one page's lines
     worded = F.filter("lines", lambda x: F.rlike(x["text"], F.lit(r"\p{L}")))
     first = pages.where(F.size(worded) > 0).groupBy("scan_id", (F.col("page_index") - 1).alias("page_index")).agg(F.min(F.struct("page_id", F.element_at(worded, 1)["text"].alias("text"), F.element_at(worded, 1)["line_no"].alias("line_no"))).alias("f"))
-    return cut(pages.join(first, ["scan_id", "page_index"], "left").select("page_id", "scan_id", "page_index", "lines", F.col("f.text").alias("next_line"), F.col("f.page_id").alias("next_page"), F.col("f.line_no").alias("next_no")))
+    whole = pages.join(first, ["scan_id", "page_index"], "left").select("page_id", "scan_id", "page_index", "lines", F.col("f.text").alias("next_line"), F.col("f.page_id").alias("next_page"), F.col("f.line_no").alias("next_no"))
+    broken = F.rlike(F.element_at("lines", -1)["text"], F.lit(r"[\p{L}\p{N}|(][-\x{2010}\x{ad}\x{ac}]\s*$"))
+    carried = whole.where("next_page is not null").where(broken).select(F.col("next_page").alias("page_id")).distinct().withColumn("carried", F.lit(True))
+    return cut(whole.join(carried, "page_id", "left").withColumn("carried", F.coalesce("carried", F.lit(False))))
 
 
-def _joints(lines: list[dict], page: int, nxt: str | None, next_page: int | None, next_no: int | None) -> list[tuple[int, str, str, int, int]]:
-    """(index of the line, last fragment, first fragment that follows, page and line it stands in) of lines that end in a break sign."""
-    out = []
-    for k, x in enumerate(lines):
-        t = x["text"].rstrip()
-        if len(t) < 2 or t[-1] not in BREAKS or not t[-2].isalnum() and t[-2] not in "|(éíﬁﬀ":
-            continue
-        after = next(((page, y["line_no"], y["text"]) for y in lines[k + 1 :] if _lettered(y["text"])), None) or (nxt and (next_page, next_no, nxt))
-        if not after:
-            continue
-        head = core_of(t[:-1].split()[-1])
-        tail = core_of(after[2].split()[0])
-        a, b = re.split(r"[-‐]", head)[-1], re.split(r"[-‐]", tail)[0]
-        if a and b and any(s.isalpha() for s in a) and any(s.isalpha() for s in b):
-            out.append((k, a, b, after[0], after[1]))
-    return out
+def _pages(b: pa.RecordBatch) -> Iterator[tuple[dict, list[L.Slot]]]:
+    for r in b.to_pylist():
+        yield r, L.stream(r["page_id"], r["lines"], (r["next_page"], r["next_no"], r["next_line"]) if r["next_line"] else None, r["carried"])
 
 
-_UNITS = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("form", pa.string()), ("left", pa.string()), ("right", pa.string()), ("right_page", pa.int64()), ("right_line", pa.int32())])
-_UNITS_DDL = "page_id bigint, line_no int, kind string, form string, `left` string, `right` string, right_page bigint, right_line int"
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (w), compounds (c), misread ids (i) and joints (j) of each body line."""
+_COUNT = pa.schema([("key", pa.string()), ("n", pa.int64())])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (w:), pairs of neighbours (b:), compounds (c:) and of words broken over lines (j:)."""
+    seen: Counter[str] = Counter()
     for b in batches:
-        rows = []
-        for page, lines, nxt, next_page, next_no in zip(*(b.column(c).to_pylist() for c in ("page_id", "lines", "next_line", "next_page", "next_no"))):
-            joints = _joints(lines, page, nxt, next_page, next_no)
-            ends = {k for k, *_ in joints}
-            starts = {(p, n) for *_, p, n in joints}
-            for k, x in enumerate(lines):
-                tokens = x["text"].split()
-                for i, t in enumerate(tokens):
-                    if misread_id(t):
-                        rows.append((page, x["line_no"], "i", t, None, None, None, None))
-                        continue
-                    skip_last, skip_first = i == len(tokens) - 1 and k in ends, i == 0 and (page, x["line_no"]) in starts
-                    parts = parts_of(t.rstrip(BREAKS) if skip_last else t)
-                    if not (skip_last or skip_first):
-                        core = core_of(t)
-                        if len(parts) > 1:
-                            rows.append((page, x["line_no"], "c", core.replace("‐", "-"), None, None, None, None))
-                    else:
-                        parts = (parts[:-1] if skip_last else parts)[1 if skip_first else 0 :]
-                    before = core_of(tokens[i - 1]) if i else None
-                    after = core_of(tokens[i + 1]) if i + 1 < len(tokens) else None
-                    rows += [(page, x["line_no"], "w", p, before, after, None, None) for p in parts]
-            rows += [(page, lines[k]["line_no"], "j", a + b, a, b, p, n) for k, a, b, p, n in joints]
-        cols = list(zip(*rows)) if rows else [()] * len(_UNITS)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _UNITS)], schema=_UNITS)
+        for _, slots in _pages(b):
+            for i, s in enumerate(slots):
+                later = slots[i + 1] if i + 1 < len(slots) else None
+                joined = i > 0 and slots[i - 1].glue == "="
+                if not s.fragment and not joined:
+                    seen["w:" + s.form] += 1
+                if s.glue == "=" and later:
+                    seen["j:" + s.form + later.form] += 1
+                elif s.glue and later:
+                    seen[f"b:{s.form} {later.form}"] += 1
+                if s.glue == "-" and not (i and slots[i - 1].glue == "-"):
+                    k = i
+                    while k + 1 < len(slots) and slots[k].glue == "-":
+                        k += 1
+                    seen["c:" + "-".join(x.form for x in slots[i : k + 1])] += 1
+        if len(seen) > FLUSH:
+            yield _rows(list(seen.items()), _COUNT)
+            seen.clear()
+    yield _rows(list(seen.items()), _COUNT)
+
+
+_FOLD = pa.schema([("fold", pa.string()), ("form", pa.string()), ("n", pa.int64())])
 
 
 def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(k, w, n) for w, n in zip(b.column("form").to_pylist(), b.column("n").to_pylist()) for k in folds(w)]
-        cols = list(zip(*rows)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["fold", "form", "n"])
+        yield _rows([(k, w, n) for w, n in zip(b.column("form").to_pylist(), b.column("n").to_pylist()) for k in folds(w)], _FOLD)
 
 
-def readings_of(read: str, own: int, likely: dict[str, int]) -> tuple[str, float] | None:
-    """The likeliest meaning of one read form as one word, with its count; None where it stands as it is."""
-    best, odd = None, not read.isalpha() or not read.isascii()
-    for meant, n in likely.items():
-        if meant == read or not meant.isalpha() or not meant.isascii() or n < (max(2, own + 1) if odd else max(3, RATIO * own)):
-            continue
-        k = confusions_between(read, meant)
-        if k and (best is None or (n / 10**k, meant) > best[:2]):
-            best = (n / 10**k, meant, n)
-    return (best[1], best[2]) if best else None
+_PAIR = pa.schema([("form", pa.string()), ("n", pa.int64()), ("word", pa.string()), ("m", pa.int64()), ("confusions", pa.list_(pa.int32()))])
 
 
-_VERDICT = pa.schema([("form", pa.string()), ("n", pa.int64()), ("meant", pa.string())])
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for form, n, word, m in zip(*(b.column(c).to_pylist() for c in ("form", "n", "word", "m"))):
+            c = L.confusions_between(form, word)
+            if c:
+                rows.append((form, n, word, m, c))
+        yield _rows(rows, _PAIR)
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the signs of each confusion (k) and each pair of letters (l) occur."""
+    seen: Counter[str] = Counter()
     for b in batches:
-        rows = []
-        for form, n, bare, likely in zip(*(b.column(c).to_pylist() for c in ("form", "n", "bare", "likely"))):
-            if form.startswith("(") and (bare or 0) >= 2:
-                rows.append((form, n, None))
-                continue
-            hit = readings_of(form, n, {x["form"]: x["n"] for x in likely or ()})
-            rows.append((form, n, hit[0] if hit else None))
-        cols = list(zip(*rows)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _VERDICT)], schema=_VERDICT)
+        for form, n in zip(b.column("form").to_pylist(), b.column("n").to_pylist()):
+            for k, (_, meant) in enumerate(L.CONFUSIONS):
+                if meant in form:
+                    seen[f"k{k}"] += n * form.count(meant)
+            x = "^" + "".join(map(L.letter, form)) + "$"
+            for i in range(len(x) - 1):
+                seen["l" + x[i : i + 2]] += n
+    yield _rows(list(seen.items()), _COUNT)
+
+
+def fitted_costs(lexicon: DataFrame, pairs: DataFrame) -> L.Costs:
+    """Costs of confusions from aligned pairs of rare and frequent forms, each rare form paired with its most frequent one.
+    What comes to the driver is a row per confusion and per pair of letters, under 900 in all.
+    """
+    clear = pairs.where((F.col("n") > 0) & (F.col("m") >= L.FIT_RATIO * F.col("n"))).groupBy("form").agg(F.max(F.struct("m", "word", "n", "confusions")).alias("p"))
+    happened = clear.select(F.col("p.n").alias("n"), F.explode("p.confusions").alias("c")).groupBy(F.concat(F.lit("h"), "c").alias("key")).agg(F.sum("n").alias("n"))
+    chances = lexicon.mapInArrow(_chances, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    sums = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("k"))
+    rows = happened.unionByName(chances).unionByName(sums.select(F.lit("t").alias("key"), F.col("t").alias("n"))).unionByName(sums.select(F.lit("s").alias("key"), F.col("k").alias("n"))).collect()
+    of = lambda kind, key=lambda x: x: {key(r.key[1:]): float(r.n) for r in rows if r.key[0] == kind}
+    return L.Costs(of("h", int), of("k", int), of("l"), of("t").get("", 0.0), of("s").get("", 0.0))
+
+
+_FACT_DDL = "key string, n bigint, own double, readings array<struct<word:string,n:bigint,cost:double,differs:boolean>>, splits array<struct<a:string,b:string,na:bigint,nb:bigint>>"
+_READING = pa.struct([("word", pa.string()), ("n", pa.int64()), ("cost", pa.float64()), ("differs", pa.bool_())])
+_SPLIT = pa.struct([("a", pa.string()), ("b", pa.string()), ("na", pa.int64()), ("nb", pa.int64())])
+_FACT = pa.schema([("key", pa.string()), ("n", pa.int64()), ("own", pa.float64()), ("readings", pa.list_(_READING)), ("splits", pa.list_(_SPLIT))])
+
+
+def _readings(costs: L.Costs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for form, n, bare, likely, splits in zip(*(b.column(c).to_pylist() for c in ("form", "n", "bare", "likely", "splits"))):
+                own, readings = L.form_readings(form, n, bare or 0, [(x["word"], x["m"], tuple(x["confusions"])) for x in likely or ()], costs)
+                if readings or splits or 0 < n <= L.SELDOM:
+                    rows.append(("r:" + form, n, own, [dict(zip(("word", "n", "cost", "differs"), r)) for r in readings], splits))
+            yield _rows(rows, _FACT)
 
+    return run
 
-def judged_forms(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, compounds). verdicts: (form, n, meant) of every word and joined word: its count as a whole word in the
-    body text of all scans, and what it means if it is misread. compounds: (pair, n) of the compounds seen within lines.
+
+def corpus_facts(counts: DataFrame) -> tuple[DataFrame, DataFrame, L.Costs]:
+    """(readings, facts, costs) from the counts of the whole corpus. readings: a row per form that is rare or may be a reading
+    of other words; facts: the counts by key and the readings. All candidates meet by equal folded signs.
     """
-    lexicon = cut(units.where("kind = 'w'").groupBy("form").agg(F.count(F.lit(1)).alias("n")))
-    joined = units.where("kind = 'j'").select("form").distinct().join(lexicon, "form", "left_anti").select("form", F.lit(0).cast("bigint").alias("n"))
+    words = counts.where("key like 'w:%'").select(F.expr("substring(key, 3)").alias("form"), "n")
+    lexicon = cut(words)
+    joined = counts.where("key like 'j:%'").select(F.expr("substring(key, 3)").alias("form")).join(lexicon, "form", "left_anti").select("form", F.lit(0).cast("bigint").alias("n"))
     forms = cut(lexicon.unionByName(joined))
     ddl = "fold string, form string, n bigint"
-    known = lexicon.where("n >= 2").mapInArrow(_fold_rows, ddl).groupBy("fold").agg(F.collect_list(F.struct("form", "n")).alias("likely"))  # words alike in folded signs
-    met = forms.mapInArrow(_fold_rows, ddl).join(known, "fold").groupBy("form").agg(F.flatten(F.collect_list("likely")).alias("likely"))
-    bare = lexicon.select(F.concat(F.lit("("), "form").alias("form"), F.col("n").alias("bare"))
-    asked = forms.join(met, "form", "left").join(bare, "form", "left")
-    verdicts = asked.mapInArrow(_judge, "form string, n bigint, meant string")
-    compounds = units.where("kind = 'c'").groupBy(F.col("form").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
-    return cut(verdicts), compounds
+    known = lexicon.where("n >= 2 and form rlike '^[A-Za-z]+$'").mapInArrow(_fold_rows, ddl).select("fold", F.col("form").alias("word"), F.col("n").alias("m"))
+    met = forms.mapInArrow(_fold_rows, ddl).join(known, "fold").where("m > n and form <> word and abs(length(form) - length(word)) <= length(form)").select("form", "n", "word", "m").distinct()
+    pairs = cut(met.mapInArrow(_align, "form string, n bigint, word string, m bigint, confusions array<int>"))
+    costs = fitted_costs(lexicon, pairs)
+    often = lexicon.where(F.col("n") >= L.OFTEN)
+    cuts = lexicon.where((F.col("n") <= L.SELDOM) & (F.length("form") >= 6)).withColumn("k", F.explode(F.sequence(F.lit(2), F.length("form") - 2))).select("form", F.expr("left(form, k)").alias("a"), F.expr("substring(form, k + 1)").alias("b"))
+    halves = cuts.join(often.toDF("a", "na"), "a").join(often.toDF("b", "nb"), "b").groupBy("form").agg(F.collect_list(F.struct("a", "b", "na", "nb")).alias("splits"))  # at most one per letter
+    alike = pairs.groupBy("form").agg(F.collect_list(F.struct("word", "m", "confusions")).alias("likely"))  # more frequent words of the same folded signs
+    bare = lexicon.where("n >= 2").select(F.concat(F.lit("("), "form").alias("form"), F.col("n").alias("bare"))
+    asked = forms.join(alike, "form", "left").join(bare, "form", "left").join(halves, "form", "left").where(F.col("likely").isNotNull() | F.col("bare").isNotNull() | F.col("splits").isNotNull() | (F.col("n") <= L.SELDOM))
+    readings = cut(spread(cut(asked)).mapInArrow(_readings(costs), _FACT_DDL))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("own", "double"), ("readings", readings.schema["readings"].dataType), ("splits", readings.schema["splits"].dataType))]
+    return readings, counts.where("key not like 'j:%'").select("key", "n", *none).unionByName(readings), costs
 
 
-def judged_joints(units: DataFrame, verdicts: DataFrame, compounds: DataFrame) -> DataFrame:
-    """Each joint with ``broken`` (the word is written without the sign) and ``meant`` (the word, repaired).
+_KEYS = pa.schema([("page_id", pa.int64()), ("key", pa.string())])
 
-    Joined and compound form are weighed by how often each is seen whole. Where neither is seen: a sign other than the plain
-    hyphen breaks a word; a plain one does unless both sides are words of their own.
-    """
-    joints = units.where("kind = 'j'").select("page_id", "line_no", "form", "left", "right", "right_page", "right_line")
-    whole = verdicts.select("form", F.col("n").alias("n_whole"), "meant")
-    counts = verdicts.where("n > 0").select("form", "n")
-    looked = (
-        join_unique(joints, whole, ["form"], "left")
-        .withColumn("pair", F.concat_ws("-", "left", "right"))
-        .join(compounds.withColumnRenamed("n", "n_pair"), "pair", "left")
-        .join(counts.toDF("meant", "n_meant"), "meant", "left")
-        .join(counts.toDF("left", "n_left"), "left", "left")
-        .join(counts.toDF("right", "n_right"), "right", "left")
-    )
-    n_whole = F.coalesce("n_whole", F.lit(0)) + F.coalesce("n_meant", F.lit(0))
-    n_pair = F.coalesce("n_pair", F.lit(0))
-    both = (F.coalesce("n_left", F.lit(0)) >= 2) & (F.coalesce("n_right", F.lit(0)) >= 2)
-    broken = F.when((n_whole > 0) | (n_pair > 0), n_whole > n_pair).otherwise(~both)
-    return looked.select("page_id", "line_no", "form", "left", "right", "right_page", "right_line", broken.alias("broken"), "meant")
 
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield _rows([(r["page_id"], k) for r, slots in _pages(b) for k in sorted({"r:" + s.form for s in slots})], _KEYS)
 
-def scan_noise(pages: DataFrame) -> DataFrame:
-    """(page_id, line_no, noise): hyphen_break, char_error, running_head or page_number, each at most once per line.
 
-    Empty tables give no rows; further columns are ignored; empty lines are counted but are no noise.
-    """
-    lines = page_lines(pages)
-    units = cut(body_pages(lines).mapInArrow(_units, _UNITS_DDL))
-    verdicts, compounds = judged_forms(units)
-    joints = cut(judged_joints(units, verdicts, compounds))
-    misread = cut(verdicts.where("meant is not null and n > 0").select("form"))
-    words = join_unique(units.where("kind = 'w'").select("page_id", "line_no", "form"), misread, ["form"], "left_semi").select("page_id", "line_no")
-    wrong = joints.where("broken and meant is not null")
-    at_left = wrong.where(~F.startswith("meant", F.col("left"))).select("page_id", "line_no")
-    at_right = wrong.where(F.startswith("meant", F.col("left")) | ~F.endswith("meant", F.col("right"))).select(F.col("right_page").alias("page_id"), F.col("right_line").alias("line_no"))
-    errors = words.unionByName(units.where("kind = 'i'").select("page_id", "line_no")).unionByName(at_left).unionByName(at_right)
-    return (
-        lines.where("noise is not null").select("page_id", "line_no", "noise")
-        .unionByName(errors.withColumn("noise", F.lit("char_error")))
-        .unionByName(joints.where("broken").select("page_id", "line_no", F.lit("hyphen_break").alias("noise")))
-        .distinct()
-    )
+def _facts(costs: L.Costs, *found: list[dict] | None) -> tuple[L.Facts, set[str]]:
+    known = {f["key"]: f for fs in found for f in fs or ()}
+    return L.Facts(costs, known), {k[2:] for k, f in known.items() if k[:2] == "r:" and f["n"] and f["n"] <= L.SELDOM}
+
+
+def _wants(costs: L.Costs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows([(r["page_id"], k) for r, slots in _pages(b) for k in sorted(L.wanted(slots, *_facts(costs, r["found"])))], _KEYS)
 
+    return run
 
-def word_repairs(units: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(page_id, line_no, form, repaired): lattice edges for words: misread ones, two run together, one torn in two."""
-    lexicon = verdicts.where("n > 0").select("form", "n")
-    often = lexicon.where(F.col("n") >= RATIO)
-    seldom = verdicts.where((F.col("n") > 0) & (F.col("n") <= SELDOM) & F.col("meant").isNull()).select("form")
-    words = units.where("kind = 'w'")
-    fixes = verdicts.where("n > 0 and meant is not null").select("form", F.col("meant").alias("repaired"))
-    cuts = seldom.where("length(form) >= 6").withColumn("k", F.explode(F.sequence(F.lit(2), F.length("form") - 2)))
-    cuts = cuts.select("form", F.expr("left(form, k)").alias("a"), F.expr("substring(form, k + 1)").alias("b"))
-    parted = cuts.join(often.toDF("a", "na"), "a").join(often.toDF("b", "nb"), "b").groupBy("form").agg(F.max(F.struct(F.least("na", "nb").alias("n"), F.concat_ws(" ", "a", "b").alias("t")))["t"].alias("repaired"))
-    single = cut(fixes.unionByName(parted.join(fixes.select("form"), "form", "left_anti")))
-    near = cut(words.join(seldom, "form", "left_semi").select("page_id", "line_no", "form", "left", "right"))
-    pairs = near.where("right is not null").select("page_id", "line_no", F.concat_ws(" ", "form", "right").alias("pair"), F.concat("form", "right").alias("whole")).unionByName(near.where("left is not null").select("page_id", "line_no", F.concat_ws(" ", "left", "form").alias("pair"), F.concat("left", "form").alias("whole")))
-    torn = pairs.join(often.select(F.col("form").alias("whole")), "whole").select("page_id", "line_no", F.col("pair").alias("form"), F.col("whole").alias("repaired"))
-    return join_unique(words.select("page_id", "line_no", "form"), single, ["form"]).unionByName(torn).distinct()
+
+_DONE_DDL = "page_id bigint, scan_id string, page_index int, noise array<struct<page_id:bigint,line_no:int,noise:string>>, said array<struct<line_no:int,text:string,source:string>>, next_line string"
+_NOISE = pa.struct([("page_id", pa.int64()), ("line_no", pa.int32()), ("noise", pa.string())])
+_SAID = pa.struct([("line_no", pa.int32()), ("text", pa.string()), ("source", pa.string())])
+_DONE = pa.schema([("page_id", pa.int64()), ("scan_id", pa.string()), ("page_index", pa.int32()), ("noise", pa.list_(_NOISE)), ("said", pa.list_(_SAID)), ("next_line", pa.string())])
 
 
 def _like(token: str, old: str, new: str) -> str:
@@ -362,30 +285,104 @@ def _like(token: str, old: str, new: str) -> str:
     return token[:at] + new + token[at + len(old) :]
 
 
-def decode_tokens(tokens: list[str], edges: dict[str, str]) -> list[str]:
-    """Viterbi over a line's tokens: each stays, is read as another word or two, or joins with the next into one word."""
-    best: list[tuple[float, list[str]]] = [(0.0, [])]
-    for i, t in enumerate(tokens):
-        cost, said = best[i]
-        torn = i + 1 < len(tokens) and f"{core_of(t)} {core_of(tokens[i + 1])}" in edges
-        options = [(cost + (UNKNOWN if torn or any(p in edges for p in parts_of(t)) else 0.0), [*said, t])]
-        fixed, n = t, 0
-        for p in parts_of(t):
-            if p in edges:
-                fixed, n = _like(fixed, p, edges[p]), n + 1
-        if n:
-            options.append((cost + n * CONFUSED, [*said, fixed]))
-        if i:
-            pair = f"{core_of(tokens[i - 1])} {core_of(t)}"
-            if pair in edges:
-                before = best[i - 1]
-                options.append((before[0] + JOINED, [*before[1], _like(tokens[i - 1] + t, pair.replace(" ", ""), edges[pair])]))
-        best.append(min(options, key=lambda o: o[0]))
-    return best[-1][1]
+def read_path(page: dict, slots: list[L.Slot], path: list[tuple[int, int, tuple[str, ...], str, str]]) -> tuple[set[tuple[int, int, str]], dict[int, list[str]]]:
+    """(noise, tokens): what the best path says about lines as (page, line, noise), and the repaired tokens of each line."""
+    noise: set[tuple[int, int, str]] = set()
+    tokens = {x["line_no"]: x["text"].split() for x in page["lines"]}
+    after = (page["next_line"] or "").split()
+    for x in page["lines"]:
+        for i, t in enumerate(tokens[x["line_no"]]):
+            fixed = L.id_reading(t)
+            if fixed:
+                noise.add((page["page_id"], x["line_no"], "char_error"))
+                tokens[x["line_no"]][i] = t.replace(t.strip(".,;:()\"'[]"), fixed)
+
+    def at(s: L.Slot) -> str:
+        if s.page != page["page_id"]:
+            return after[0] if after else ""
+        return tokens[s.line][s.token]
+
+    def put(s: L.Slot, text: str) -> None:
+        if s.page == page["page_id"]:
+            tokens[s.line][s.token] = text
+
+    if page["carried"] and page["lines"] and (not slots or (slots[0].line, slots[0].token) != (page["lines"][0]["line_no"], 0)):
+        line = next((x["line_no"] for x in page["lines"] if L._lettered(x["text"])), None)
+        if line is not None and tokens[line]:
+            tokens[line][0] = ""  # it stands on the page before
+    for i, taken, words, what, surface in path:
+        s = slots[i]
+        z = slots[i + 1] if i + 1 < len(slots) else None
+        if what in ("read", "split"):
+            put(s, _like(at(s), surface, " ".join(words)))
+            if what == "read":
+                noise.add((s.page, s.line, "char_error"))
+        elif what == "merge":
+            put(s, at(s) + at(z))
+            put(z, "")
+        elif what == "join":
+            noise.add((s.page, s.line, "hyphen_break"))
+            w, rest = words[0], at(z)
+            put(s, _like(at(s).rstrip(L.BREAKS), s.form, w) + rest[rest.lower().find(z.form) + len(z.form) :])
+            put(z, "")
+            if w != surface:
+                if not w.startswith(s.form):
+                    noise.add((s.page, s.line, "char_error"))
+                if w.startswith(s.form) or not w.endswith(z.form):
+                    noise.add((z.page, z.line, "char_error"))
+    for i, s in reversed(list(enumerate(slots))):
+        if s.glue == "=" and i + 1 < len(slots) and at(s)[-1:] in L.BREAKS and at(s):
+            put(s, at(s).rstrip(L.BREAKS) + "-" + at(slots[i + 1]))
+            put(slots[i + 1], "")
+    return noise, tokens
+
+
+def _decode(costs: L.Costs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r, slots in _pages(b):
+                noise, tokens = read_path(r, slots, L.decode(slots, *_facts(costs, r["found"], r["more"])))
+                said = [{"line_no": x["line_no"], "text": " ".join(t for t in tokens[x["line_no"]] if t), "source": x["text"]} for x in r["lines"]]
+                rows.append((r["page_id"], r["scan_id"], r["page_index"], [dict(zip(("page_id", "line_no", "noise"), x)) for x in sorted(noise)], said, r["next_line"]))
+            yield _rows(rows, _DONE)
+
+    return run
+
+
+def decoded_pages(bodies: DataFrame) -> DataFrame:
+    """The best path through the lattice of each page's de-lined text: its noise by line and its repaired lines.
+
+    Words, pairs of neighbours, compounds and confusions are counted over all pages; each page then asks for the readings of
+    its forms, and for the counts its lattice compares, through joins in which frequent words are spread.
+    """
+    bodies = spread(bodies)
+    counts = cut(bodies.mapInArrow(_count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    readings, facts, costs = corpus_facts(counts)
+    fact = F.struct("key", "n", "own", "readings", "splits")
+    asked = cut(bodies.mapInArrow(_forms, "page_id bigint, key string"))
+    found = join_unique(asked, readings, ["key"]).groupBy("page_id").agg(F.collect_list(fact).alias("found"))  # one page's forms
+    first = cut(bodies.join(found, "page_id", "left"))
+    wants = cut(spread(first).mapInArrow(_wants(costs), "page_id bigint, key string"))
+    more = join_unique(wants, facts, ["key"]).groupBy("page_id").agg(F.collect_list(fact).alias("more"))  # one page's
+    return cut(spread(cut(first.join(more, "page_id", "left"))).mapInArrow(_decode(costs), _DONE_DDL))
+
+
+def scan_noise(pages: DataFrame) -> DataFrame:
+    """(page_id, line_no, noise): hyphen_break, char_error, running_head or page_number, each at most once per line.
+
+    Errors and breaks are read off the best path of decoded_pages. Empty tables give no rows; further columns are ignored;
+    empty lines are counted but are no noise.
+    """
+    lines = page_lines(pages)
+    done = decoded_pages(body_pages(lines))
+    return lines.where("noise is not null").select("page_id", "line_no", "noise").unionByName(done.select(F.explode("noise").alias("x")).select("x.*")).distinct()
 
 
 def paragraph_ends(lines: list[dict]) -> list[int]:
-    """Dynamic programming over a page's body lines: the ends (exclusive) of its paragraphs."""
+    """Dynamic programming over a page's body lines: the ends (exclusive) of its paragraphs. Linear: what a paragraph costs
+    inside is a difference of sums, so the best start for each end is the best so far.
+    """
     width = max((len(x["text"]) for x in lines), default=0)
     closed = [x["text"].rstrip()[-1:] in '.!?:"”' for x in lines]
     gap = [k > 0 and x["line_no"] - lines[k - 1]["line_no"] > 1 for k, x in enumerate(lines)]
@@ -393,13 +390,13 @@ def paragraph_ends(lines: list[dict]) -> list[int]:
     inside = [0.0]
     for k in range(1, len(lines)):
         inside.append(inside[-1] + (BLANK_INSIDE if gap[k] else 0) + (SHORT_INSIDE if closed[k - 1] and len(lines[k - 1]["text"]) < 0.7 * width else 0))
-    best, back = [0.0], [0]
+    best, back, lead = [0.0], [0], (float("inf"), 0)
     for end in range(1, len(lines) + 1):
+        j = end - 1
+        lead = min(lead, (best[j] + (LOW_START if j and low[j] else 0) - inside[j], j))
         tail = OPEN_END if end < len(lines) and not closed[end - 1] else 0.0
-        options = [(best[j] + PARAGRAPH + tail + (LOW_START if j and low[j] else 0) + inside[end - 1] - inside[j], j) for j in range(end)]
-        b, j = min(options)
-        best.append(b)
-        back.append(j)
+        best.append(lead[0] + PARAGRAPH + tail + inside[end - 1])
+        back.append(lead[1])
     ends, k = [], len(lines)
     while k:
         ends.append(k)
@@ -410,55 +407,32 @@ def paragraph_ends(lines: list[dict]) -> list[int]:
 _PARTS = pa.schema([("scan_id", pa.string()), ("page_index", pa.int32()), ("page_id", pa.int64()), ("part", pa.int32()), ("text", pa.string()), ("n_parts", pa.int32()), ("open", pa.bool_()), ("n_lines", pa.int32())])
 
 
-def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for r in b.to_pylist():
-            edges: dict[int, dict[str, str]] = {}
-            for e in r["repairs"] or ():
-                edges.setdefault(e["line_no"], {})[e["form"]] = e["repaired"]
-            joints = {j["line_no"]: j for j in r["joints"] or ()}
-            heads = {j["right_line"] for j in r["joints_in"] or ()}  # words that began on the page before
-            said, skip_first = [], set(heads)
-            for x in r["lines"]:
-                tokens = x["text"].split()
-                if x["line_no"] in skip_first and tokens:
-                    tokens = tokens[1:]
-                tokens = decode_tokens(tokens, edges.get(x["line_no"], {}))
-                j = joints.get(x["line_no"])
-                if j and tokens:
-                    whole = (j["meant"] or j["form"]) if j["broken"] else f"{j['left']}-{j['right']}"
-                    rest = next((y["text"].split()[0] for y in r["lines"] if y["line_no"] == j["right_line"] and j["right_page"] == r["page_id"]), None) or (r["next_line"] or " x").split()[0]
-                    tokens[-1] = _like(tokens[-1].rstrip(BREAKS), j["left"], whole) + rest[len(rest.rstrip(".,;:)\"'!?")) :]
-                    if j["right_page"] == r["page_id"]:
-                        skip_first.add(j["right_line"])
-                said.append(" ".join(tokens))
-            ends, start = paragraph_ends(r["lines"]), 0
-            last = r["lines"][-1]["text"].rstrip()
+            source = [{"line_no": x["line_no"], "text": x["source"]} for x in r["said"]]
+            if not source:
+                continue
+            ends, start = paragraph_ends(source), 0
+            last = source[-1]["text"].rstrip()
             is_open = bool(r["next_line"]) and (last[-1:] not in '.!?:"”' or r["next_line"].lstrip()[:1].islower())
             for k, end in enumerate(ends):
-                rows.append((r["scan_id"], r["page_index"], r["page_id"], k, " ".join(t for t in said[start:end] if t), len(ends), is_open, end - start))
+                rows.append((r["scan_id"], r["page_index"], r["page_id"], k, " ".join(x["text"] for x in r["said"][start:end] if x["text"]), len(ends), is_open, end - start))
                 start = end
-        cols = list(zip(*rows)) if rows else [()] * len(_PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PARTS)], schema=_PARTS)
+        yield _rows(rows, _PARTS)
 
 
 def scan_paragraphs(pages: DataFrame) -> DataFrame:
     """(scan_id, para_no, text, n_lines): each scan's text as continuous paragraphs, without running heads and page numbers,
-    with broken words joined and misread ones restored. Study ids that can't be read for certain stay as they are.
+    with broken words joined and misread ones restored, by the best path of decoded_pages. Study ids that can't be read for
+    certain stay as they are.
 
     Paragraphs go on over pages. They are numbered by sums over blocks of 1024 pages, so a scan that holds many pages is
     not one task. Empty tables give no rows.
     """
-    bodies = body_pages(page_lines(pages))
-    units = cut(bodies.mapInArrow(_units, _UNITS_DDL))
-    verdicts, compounds = judged_forms(units)
-    joints = cut(judged_joints(units, verdicts, compounds))
-    repairs = word_repairs(units, verdicts).groupBy("page_id").agg(F.collect_list(F.struct("line_no", "form", "repaired")).alias("repairs"))  # one page's
-    own = joints.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "form", "left", "right", "right_page", "right_line", "broken", "meant")).alias("joints"))
-    into = joints.where("right_page <> page_id").groupBy(F.col("right_page").alias("page_id")).agg(F.collect_list(F.struct("right_line")).alias("joints_in"))
-    ready = bodies.join(repairs, "page_id", "left").join(own, "page_id", "left").join(into, "page_id", "left")
-    parts = cut(ready.mapInArrow(_repair, "scan_id string, page_index int, page_id bigint, part int, text string, n_parts int, open boolean, n_lines int"))
+    done = decoded_pages(body_pages(page_lines(pages)))
+    parts = cut(done.mapInArrow(_paragraphs, "scan_id string, page_index int, page_id bigint, part int, text string, n_parts int, open boolean, n_lines int"))
     heads = parts.where("part = 0").select("scan_id", "page_index", "page_id", "n_parts", "open")
     goes_on = heads.where("open").groupBy("scan_id", (F.col("page_index") + 1).alias("page_index")).agg(F.lit(1).alias("joined"))
     counted = heads.join(goes_on, ["scan_id", "page_index"], "left").withColumn("joined", F.coalesce("joined", F.lit(0))).withColumn("starts", F.col("n_parts") - F.col("joined")).withColumn("block", F.shiftright("page_index", 10))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.llm import components, encoding, mixing, overlaps, packing, plans, scans
+from linkloom.llm import scan_lattice as lattice
 from linkloom.llm.tokens import VOCABULARY, TokenCounter
 from tests.conftest import rows
 
@@ -112,9 +113,91 @@ def test_scan_paragraphs(spark):
 def test_page_numbers_and_folds():
     assert [scans.page_number(x) for x in ("[5l]", "- 12 -", "Page 3 of l2", "p. 7", "xiv", "4/9", "12", "1.5", "Sec 4", "mild")] == [(51, True), (12, True), (3, True), (7, True), (14, False), (4, False), (12, False), None, None, None]
     for read, meant in [("cornrnittee", "committee"), ("assessrnerit", "assessment"), ("instriiment", "instrument"), ("c1inical", "clinical"), ("cliriical", "clinical"), ("(ommit", "commit"), ("paecliatric", "paediatric"), ("hmit", "limit")]:
-        assert set(scans.folds(read)) & set(scans.folds(meant)) and scans.confusions_between(read, meant) >= 1, read
-    assert scans.confusions_between("cat", "dog") is None
-    assert scans.decode_tokens(["the", "stan", "dard", "cartori,", "wasit"], {"stan dard": "standard", "cartori": "carton", "wasit": "was it"}) == ["the", "standard", "carton,", "was it"]
+        assert set(lattice.folds(read)) & set(lattice.folds(meant)) and lattice.confusions_between(read, meant), read
+    assert lattice.confusions_between("cat", "dog") is None and lattice.confusions_between("same", "same") == ()
+
+
+def test_ids_of_the_catalogue_are_sound():
+    assert [lattice.id_reading(x) for x in ("SP-2024-001", "ABCD-2024-012", "ABC-2024-0123,", "word-2024-abc", "plain")] == [None] * 5
+    assert [lattice.id_reading(x) for x in ("ABC-2O20-001", "(A8C-20l9-0S1).", "SP-2024-00l")] == ["ABC-2020-001", "ABC-2019-051", "SP-2024-001"]
+
+
+def facts_of(words, pairs=(), likely=None, compounds=()):
+    n = Counter(words)
+    letters = Counter(x[i : i + 2] for w, k in n.items() for x in ["^" + w + "$"] for i in range(len(x) - 1) for _ in range(k))
+    costs = lattice.Costs({}, {}, letters, sum(n.values()), len(n))
+    found = {"w:" + w: {"n": k} for w, k in n.items()} | {f"b:{a} {b}": {"n": k} for (a, b), k in dict(pairs).items()} | {"c:" + c: {"n": k} for c, k in dict(compounds).items()}
+    for form, meant in (likely or {}).items():
+        own, r = lattice.form_readings(form, n[form], 0, [(m, n[m], lattice.confusions_between(form, m)) for m in meant], costs)
+        found["r:" + form] = {"n": n[form], "own": own, "readings": [dict(zip(("word", "n", "cost", "differs"), x)) for x in r], "splits": [{"a": "of", "b": "the", "na": n["of"], "nb": n["the"]}] if form == "ofthe" else None}
+    return lattice.Facts(costs, found), {w for w, k in n.items() if k <= lattice.SELDOM}
+
+
+def said(text, facts, rare):
+    lines = [{"line_no": i, "text": x} for i, x in enumerate(text.split("\n"))]
+    return [(what, words) for _, _, words, what, _ in lattice.decode(lattice.stream(1, lines, None, False), facts, rare)]
+
+
+def test_lattice_weighs_words_and_neighbours():
+    base = ["the"] * 900 + ["of"] * 800 + ["east"] * 100 + ["plaster"] * 20 + ["wing"] * 90 + ["committee"] * 200 + ["standard"] * 60 + ["two"] * 40 + ["sided"] * 30
+    facts, rare = facts_of(base + ["cast"] * 5 + ["cornrnittee", "stan", "dard", "ofthe"], {("plaster", "cast"): 5, ("east", "wing"): 80, ("the", "east"): 60, ("committee", "of"): 60, ("the", "wing"): 60}, {"cast": ["east"], "cornrnittee": ["committee"], "ofthe": []}, {"two-sided": 9})
+    assert said("plaster cast", facts, rare) == [("keep", ("plaster",)), ("keep", ("cast",))]  # a sound word, though rarer than its look-alike
+    assert said("the cast wing", facts, rare)[1] == ("read", ("east",))  # its neighbours speak for the look-alike
+    assert said("the cornrnittee", facts, rare)[1] == ("read", ("committee",))
+    assert ("merge", ("standard",)) in said("the stan dard", facts, rare) and ("split", ("of", "the")) in said("committee ofthe wing", facts, rare)
+    assert said("the commit-\ntee", facts, rare)[1] == ("join", ("committee",)) and said("the two-\nsided", facts, rare)[1:] == [("keep", ("two",)), ("keep", ("sided",))]
+
+
+def test_path_is_the_best_of_all_paths():
+    rnd = random.Random(8)
+    words = ["the", "east", "wing", "of", "cast", "ofthe", "st", "and", "stand"]
+    facts, rare = facts_of([w for w in words for _ in range(rnd.randrange(1, 40))] + ["stand"] * 20, {(a, b): rnd.randrange(9) for a in words for b in words}, {"cast": ["east"], "ofthe": []})
+    own = {f[2:]: v["own"] for f, v in facts.found.items() if f[:2] == "r:"}
+
+    def every(slots, i, prev):
+        if i == len(slots):
+            yield 0.0
+            return
+        near = i > 0 and slots[i - 1].glue in (" ", "\n", "-")
+        beside = (slots[i - 1].form, slots[i].form) if near else (None, None)
+        options = lattice.edges(slots, i, facts, rare) if lattice.ambiguous(slots, facts, rare)[i] else [(1, (slots[i].form,), 0.0, "keep", "")]
+        for taken, said_, c, *_ in options:
+            for rest in every(slots, i + taken, said_[-1]):
+                yield rest + c - (lattice.affinity(prev, said_[0], facts, own, beside) if near else 0.0)
+
+    for _ in range(40):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 6)))
+        slots = lattice.stream(1, [{"line_no": 0, "text": text}], None, False)
+        least, cost, prev = min(every(slots, 0, "")), 0.0, ""
+        for i, taken, out, what, _ in lattice.decode(slots, facts, rare):
+            near = i > 0 and slots[i - 1].glue in (" ", "\n", "-")
+            c = next(e[2] for e in lattice.edges(slots, i, facts, rare) if e[1] == out and e[3] == what) if lattice.ambiguous(slots, facts, rare)[i] else 0.0
+            cost += c - (lattice.affinity(prev, out[0], facts, own, (slots[i - 1].form, slots[i].form)) if near else 0.0)
+            prev = out[-1]
+        assert cost == pytest.approx(least)
+
+
+def test_paragraph_ends_against_all_cuts():
+    rnd = random.Random(9)
+    for _ in range(40):
+        lines, no = [], 0
+        for _ in range(rnd.randrange(1, 8)):
+            no += rnd.choice([1, 1, 2])
+            lines.append({"line_no": no, "text": rnd.choice(["The end.", "goes on and on here", "Goes on and on here", "x."])})
+        width = max(len(x["text"]) for x in lines)
+
+        def cost(ends):
+            total, start = 0.0, 0
+            for end in ends:
+                total += scans.PARAGRAPH + (scans.LOW_START if start and lines[start]["text"][0].islower() else 0) + (scans.OPEN_END if end < len(lines) and lines[end - 1]["text"][-1] != "." else 0)
+                for k in range(start + 1, end):
+                    total += (scans.BLANK_INSIDE if lines[k]["line_no"] - lines[k - 1]["line_no"] > 1 else 0) + (scans.SHORT_INSIDE if lines[k - 1]["text"][-1] == "." and len(lines[k - 1]["text"]) < 0.7 * width else 0)
+                start = end
+            return total
+
+        n = len(lines)
+        every = [[k for k in range(1, n) if m >> k & 1] + [n] for m in range(0, 2**n, 2)]
+        assert cost(scans.paragraph_ends(lines)) == pytest.approx(min(map(cost, every)))
 
 
 # p5
