@@ -27,35 +27,52 @@ def existence_deltas(rows: DataFrame, keys: list[str], since: str, until: str) -
     return rows.where(F.col(since).isNotNull()).select(*keys, F.inline(ticks)).where("t is not null")
 
 
+def daily_counts(refs: DataFrame, deltas: DataFrame, keys: list[str], earlier: DataFrame | None = None) -> DataFrame:
+    """(keys, day, refs, d, s, ticks): the signed counts of each key and day: references made, existence gained and lost, records
+    begun, and the day's changes of existence in order. ``refs`` (keys, v, optional sign: -1 takes a reference back) and
+    ``deltas`` are changes; ``earlier`` is what a run before returned, which the new changes carry on.
+    """
+    sign = F.col("sign") if "sign" in refs.columns else F.lit(1)
+    no = F.lit(None).cast("struct<t:bigint,d:bigint,s:bigint>")
+    zero = F.lit(0).cast("bigint")
+    instants = deltas.groupBy(*keys, "t").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
+    rows = instants.select(*keys, F.floor(F.col("t") / DAY_US).alias("day"), zero.alias("refs"), F.struct("t", "d", "s").alias("tick"))
+    asked = refs.groupBy(*keys, F.floor(F.col("v") / DAY_US).alias("day")).agg(F.sum(sign).cast("bigint").alias("refs"))
+    rows = rows.unionByName(asked.select(*keys, "day", "refs", no.alias("tick")))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select(*keys, "day", "refs", no.alias("tick"))).unionByName(earlier.select(*keys, "day", zero.alias("refs"), F.explode("ticks").alias("tick")))
+    total = lambda c: F.coalesce(F.sum(f"tick.{c}"), F.lit(0)).alias(c)
+    return rows.groupBy(*keys, "day").agg(F.sum("refs").alias("refs"), total("d"), total("s"), F.sort_array(F.collect_list("tick")).alias("ticks"))  # one key's changes in a day
+
+
+def orphan_days(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, day, refs, d, s, total, ticks) of the keys and days with positive references and, at some time of the day, zero
+    existence. d and s are the sums before the day, total the records that ever begin; a key has a row a day at most.
+    """
+    past = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c)
+    state = daily.select(*keys, "day", "refs", "ticks", before("d"), before("s"), F.sum("s").over(Window.partitionBy(*keys)).alias("total"))
+    start = F.struct(F.col("d").alias("now"), F.col("d").alias("least"))
+    step = lambda acc, x: F.struct((acc["now"] + x["d"]).alias("now"), F.least(acc["least"], acc["now"] + x["d"]).alias("least"))
+    least = F.when(F.size("ticks") == 0, F.col("d")).otherwise(F.aggregate("ticks", start, step)["least"])
+    return state.where((F.col("refs") > 0) & (least <= 0))
+
+
 def probe(refs: DataFrame, deltas: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``found`` to each reference row (keys, id, v, ...): ok, missing, deleted or late, judged at time v (microseconds).
 
-    A key exists at v if the deltas up to and including v sum to more than zero. Signed counts are kept per key and day:
-    each day has the sums of all earlier days and its own deltas, summed per instant and in order. A reference meets only
-    the state of its key's day, in a join whose skew Spark splits; no window or group holds a key's references.
+    A key exists at v if its deltas up to and including v sum to more than zero. The orphan keys come from the signed counts
+    of references and existence alone; only the references that fall on an orphan key's day are judged at their instant, all
+    others are ok. References are summed before they are shuffled and meet one row each, in a join whose skew Spark splits;
+    no window or group holds a key's references.
     """
-    day = F.floor(F.col("t") / DAY_US).alias("day")
-    instants = deltas.groupBy(*keys, "t").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
-    no = F.lit(None).cast("struct<t:bigint,d:bigint,s:bigint>")
-    daily = (
-        instants.select(*keys, day, "d", "s", F.struct("t", "d", "s").alias("tick"), F.lit(0).alias("asked"))
-        .unionByName(refs.select(*keys, F.floor(F.col("v") / DAY_US).alias("day"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("s"), no.alias("tick"), F.lit(1).alias("asked")))
-        .groupBy(*keys, "day")
-        .agg(F.sum("d").alias("d"), F.sum("s").alias("s"), F.sort_array(F.collect_list("tick")).alias("ticks"), F.max("asked").alias("asked"))
-    )
-    past = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    state = daily.select(
-        *keys, "day", "ticks", "asked",
-        F.coalesce(F.sum("d").over(past), F.lit(0)).alias("d"),
-        F.coalesce(F.sum("s").over(past), F.lit(0)).alias("s"),
-        F.sum("s").over(Window.partitionBy(*keys)).alias("total"),
-    ).where("asked = 1").drop("asked")
+    state = orphan_days(daily_counts(refs, deltas, keys), keys).drop("refs")
     sums = F.aggregate(
         "ticks", F.struct(F.col("d"), F.col("s")),
         lambda acc, x: F.when(x["t"] <= F.col("v"), F.struct((acc["d"] + x["d"]).alias("d"), (acc["s"] + x["s"]).alias("s"))).otherwise(acc),
     )
-    found = F.when(F.col("sums.d") > 0, "ok").when(F.col("total") == 0, "missing").when(F.col("sums.s") == 0, "late").otherwise("deleted")
-    judged = refs.withColumn("day", F.floor(F.col("v") / DAY_US)).join(state, [*keys, "day"]).withColumn("sums", F.when(F.size("ticks") == 0, F.struct("d", "s")).otherwise(sums))
+    found = F.when(F.col("total").isNull() | (F.col("sums.d") > 0), "ok").when(F.col("total") == 0, "missing").when(F.col("sums.s") == 0, "late").otherwise("deleted")
+    judged = refs.withColumn("day", F.floor(F.col("v") / DAY_US)).join(state, [*keys, "day"], "left").withColumn("sums", F.when(F.size("ticks") == 0, F.struct("d", "s")).otherwise(sums))
     return judged.select(*refs.columns, found.alias("found"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from linkloom.functions.spelling import path_key, sequence_key, squeezed
 from linkloom.runtime import cut
 
-#: Children of a tree node, as a power of two, and tree levels under the root. 64**2 hash ranges hold about 25 keys each
-#: in a snapshot of 100,000 keys; deeper trees suit larger snapshots.
-FANOUT_BITS, LEVELS = 6, 2
+#: Children of a tree node, as a power of two, and keys a hash range holds on average at most. A dossier's trees are as deep
+#: as its largest delivery needs: log(keys / KEYS_PER_RANGE) levels under the root, none for a small one.
+FANOUT_BITS, KEYS_PER_RANGE = 3, 8
 
 
 def chosen_deliveries(snapshots: DataFrame) -> DataFrame:
@@ -49,47 +49,61 @@ def present_leaves(entries: DataFrame, deliveries: DataFrame) -> DataFrame:
         .agg(F.max("v").alias("v"))
         .where("v.present")
         .select("dossier_id", "ord", "leaf_id", "v.path", "v.module", "v.checksum", "v.title")
-        .withColumn("bucket", F.shiftrightunsigned(F.xxhash64("leaf_id"), 64 - FANOUT_BITS * LEVELS))
     )
 
 
+def with_depth(leaves: DataFrame) -> DataFrame:
+    """Adds ``depth``, the levels under the root of the dossier's trees, from the keys of its largest delivery, and ``node``, the
+    hash range of the leaf's key at that depth.
+    """
+    sizes = leaves.groupBy("dossier_id", "ord").agg(F.count(F.lit(1)).alias("n")).groupBy("dossier_id").agg(F.max("n").alias("n"))
+    depth = F.least(F.lit(60 // FANOUT_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / KEYS_PER_RANGE) / FANOUT_BITS))).cast("int")
+    node = F.when(F.col("depth") == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftrightunsigned", F.xxhash64("leaf_id"), F.lit(64) - FANOUT_BITS * F.col("depth")))
+    return leaves.join(sizes.select("dossier_id", depth.alias("depth")), "dossier_id").withColumn("node", node)
+
+
 def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
-    """Digests per (dossier_id, ord, node), root first. The lowest level combines the row digests of a hash range (order-free,
-    two independent 64-bit XORs and a count); each level above hashes its children's digests in node order.
+    """Digests per (dossier_id, ord, depth, node), root first. A tree's lowest level combines the row digests of a hash range
+    (order-free, two independent 64-bit XORs and a count); each level above hashes its children's digests in node order.
+    leaves: as with_depth gives them.
     """
     values = ["leaf_id", "path", "module", "checksum", "title"]
     marks = F.concat_ws("", *[F.isnull(c).cast("int").cast("string") for c in values])
-    level = (
+    ranges = cut(
         leaves.withColumn("h1", F.xxhash64(*values, marks))
         .withColumn("h2", F.xxhash64(F.lit("second"), marks, *reversed(values)))
-        .groupBy("dossier_id", "ord", F.col("bucket").alias("node"))
+        .groupBy("dossier_id", "ord", "depth", "node")
         .agg(F.xxhash64(F.expr("bit_xor(h1)"), F.expr("bit_xor(h2)"), F.count(F.lit(1))).alias("digest"))
     )
-    level = cut(level)
-    levels = [level]
-    for _ in range(LEVELS):
-        level = (
-            level.groupBy("dossier_id", "ord", F.shiftright("node", FANOUT_BITS).alias("node"))
-            .agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("node", "digest")))).alias("digest"))
+    deepest = ranges.agg(F.max("depth")).first()[0] or 0
+    levels = [ranges.where(F.col("depth") == deepest)]
+    for k in range(deepest - 1, -1, -1):
+        above = (
+            levels[0].groupBy("dossier_id", "ord", "depth", F.shiftright("node", FANOUT_BITS).alias("node"))
+            .agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("node", "digest")))).alias("digest"))  # at most 2 ** FANOUT_BITS
         )
-        levels.insert(0, level)
+        levels.insert(0, above.unionByName(ranges.where(F.col("depth") == k)))
     return levels
 
 
-def differing_buckets(levels: list[DataFrame], steps: DataFrame) -> DataFrame:
+def differing_ranges(levels: list[DataFrame], steps: DataFrame) -> DataFrame:
     """(dossier_id, ord, node) of the hash ranges whose digests differ between sequence ord and ord - 1, found top-down:
     a level is only compared below nodes that differed. A side without keys in a range has no digest and differs.
     """
     open_nodes = steps.select("dossier_id", "ord", F.lit(0).cast("bigint").alias("node"))
     key = ["dossier_id", "ord", "node"]
-    for depth, level in enumerate(levels):
-        now = level.select(*key, F.col("digest").alias("now"), F.lit(None).cast("bigint").alias("before"))
-        before = level.select("dossier_id", (F.col("ord") + 1).alias("ord"), "node", F.lit(None).cast("bigint").alias("now"), F.col("digest").alias("before"))
+    found = None
+    for k, level in enumerate(levels):
+        now = level.select(*key, "depth", F.col("digest").alias("now"), F.lit(None).cast("bigint").alias("before"))
+        before = level.select("dossier_id", (F.col("ord") + 1).alias("ord"), "node", "depth", F.lit(None).cast("bigint").alias("now"), F.col("digest").alias("before"))
         below = open_nodes.withColumnRenamed("node", "parent")
-        parent = F.shiftright("node", FANOUT_BITS) if depth else F.col("node")
+        parent = F.shiftright("node", FANOUT_BITS) if k else F.col("node")
         both = now.unionByName(before).withColumn("parent", parent).join(below, ["dossier_id", "ord", "parent"], "left_semi")
-        open_nodes = both.groupBy(*key).agg(F.max("now").alias("now"), F.max("before").alias("before")).where("not (now <=> before)").select(*key)
-    return open_nodes
+        differ = both.groupBy(*key, "depth").agg(F.max("now").alias("now"), F.max("before").alias("before")).where("not (now <=> before)")
+        ends = differ.where(F.col("depth") == k).select(*key)
+        found = ends if found is None else found.unionByName(ends)
+        open_nodes = differ.where(F.col("depth") > k).select(*key)
+    return found
 
 
 def snapshot_changes(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
@@ -100,10 +114,10 @@ def snapshot_changes(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
     further columns are ignored. Rows are compared only inside hash ranges whose digests differ.
     """
     deliveries = cut(chosen_deliveries(snapshots))
-    leaves = cut(present_leaves(entries, deliveries))
+    leaves = with_depth(cut(present_leaves(entries, deliveries)))
     steps = deliveries.where("ord > 1")
-    differing = cut(differing_buckets(merkle_levels(leaves), steps).withColumnRenamed("node", "bucket"))
-    key = ["dossier_id", "ord", "bucket"]
+    differing = cut(differing_ranges(merkle_levels(leaves), steps))
+    key = ["dossier_id", "ord", "node"]
     now = leaves.join(differing, key, "left_semi").withColumn("side", F.lit(1))
     before = leaves.withColumn("ord", F.col("ord") + 1).join(differing, key, "left_semi").withColumn("side", F.lit(0))
     fields = ["path", "module", "checksum", "title"]

@@ -20,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where the session names none and all its tasks
+    run on this machine (tests). On a cluster a folder must be named, since other machines can't read a local one.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "linkloom-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -68,7 +72,8 @@ def join_unique(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     """Equi-join of ``big`` with ``small``, whose rows are unique in ``keys``; hot keys of ``big`` never meet in one task.
 
     The rows of ``small`` under a heavy key (at most MAX_HEAVY_KEYS, see heavy_keys) are broadcast, all other keys go
-    through a shuffle join. ``how``: inner or left_semi or left. Null keys match nothing; with left they stay.
+    through a shuffle join. ``how``: inner or left_semi or left. Null keys match nothing; with left they stay. ``big`` is read
+    three times (its keys are counted, then hot and other rows), so it should be a table or cheap.
     """
     heavy = heavy_keys(big, keys, least)
     hot_small = small.join(F.broadcast(heavy), keys, "left_semi").withColumn("_hot", F.lit(True))

@@ -75,6 +75,35 @@ def test_changes_random_and_empty(spark):
     assert rows(S.snapshot_changes(sdf.limit(0), edf)) == [] == rows(S.snapshot_changes(sdf, edf.limit(0)))
 
 
+def test_deep_trees(spark, monkeypatch):
+    monkeypatch.setattr(S, "KEYS_PER_RANGE", 1)
+    snaps = [(s, "d", str(s), None, None, h(s), 0, "") for s in (1, 2)]
+    leaf = lambda k, c: (f"l{k}", "p", "m", "new", c, "md5", "t")
+    ents = [(100 * s + k, s, "d", s, leaf(k, "b" if s == 2 and k == 7 else "a"), 0) for s in (1, 2) for k in range(70) if (s, k) != (2, 9)]
+    leaves = S.with_depth(S.present_leaves(spark.createDataFrame(ents, LEAF), S.chosen_deliveries(spark.createDataFrame(snaps, SNAP))))
+    assert {r.depth for r in leaves.select("depth").collect()} == {3}
+    levels = S.merkle_levels(leaves)
+    assert len(levels) == 4 and levels[0].count() == 2
+    steps = spark.createDataFrame([("d", 2)], "dossier_id string, ord int")
+    assert S.differing_ranges(levels, steps).count() <= 2  # the ranges of the two leaves that differ
+    got = rows(S.snapshot_changes(spark.createDataFrame(snaps, SNAP), spark.createDataFrame(ents, LEAF)))
+    assert got == [("d", "0002", "l7", "changed"), ("d", "0002", "l9", "removed")]
+
+
+def test_signed_counts_carry_on(spark):
+    D = O.DAY_US
+    deltas = [("a", 5, 1, 1), ("a", D + 5, -1, 0), ("b", 2 * D, 1, 1)]
+    refs = [("a", 1, 1), ("a", 6, 1), ("b", 3, 1), ("b", 3, 1), ("c", 4, 1)]
+    df = lambda d: spark.createDataFrame(d, "k string, t bigint, d int, s int")
+    rf = lambda r: spark.createDataFrame(r, "k string, v bigint, sign int")
+    whole = O.daily_counts(rf(refs), df(deltas), ["k"])
+    parts = O.daily_counts(rf(refs[3:]), df(deltas[1:]), ["k"], O.daily_counts(rf(refs[:3]), df(deltas[:1]), ["k"]))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    assert [(r.k, r.day, r.refs, r.d, r.total) for r in O.orphan_days(whole, ["k"]).orderBy("k").collect()] == [("a", 0, 2, 0, 1), ("b", 0, 2, 0, 1), ("c", 0, 1, 0, 0)]
+    gone = O.daily_counts(rf([("c", 4, -1)]), df(deltas).limit(0), ["k"], whole)
+    assert "c" not in {r.k for r in O.orphan_days(gone, ["k"]).collect()}
+
+
 def test_orphans_edge_cases(spark):
     docs = [(1, 1, "a/one.pdf", h(0), h(10)), (1, 2, "A/one.pdf", h(20), None), (1, 2, "A/one.pdf", h(20), None), (2, 1, "a/two.pdf", h(5), None), (3, 1, None, h(0), None)]
     anchors = [(1, "sec:1", h(0), h(5)), (2, "SEC:2", h(6), None), (2, "sec:2", h(6), None)]
