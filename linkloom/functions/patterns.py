@@ -36,15 +36,30 @@ _SPECS = [
 #: Off by default.
 OPTIONAL_PATTERNS = {"VISIT_REF_V1"}
 
-# References that only the rule recogniser knows, all of confidence 0.80.
+# The rule recogniser's references, all of confidence 0.80; its 18 rules over tokens as one pattern per label.
 NER_SPECS = [
+    ("NER_SECTION_REF_V1", "SECTION_REF", r"(?:\b(?i:section|sect\.?|sec\.?)\s+|§\s*)\d+(?:\.\d+){0,4}\b"),
+    ("NER_TABLE_REF_V1", "TABLE_REF", r"\b(?i:table)\s+\d+(?:[.\-]\d+){0,4}\b"),
+    ("NER_FIGURE_REF_V1", "FIGURE_REF", r"\b(?i:figure)\s+\d+(?:[.\-]\d+){0,4}\b"),
+    ("NER_LISTING_REF_V1", "LISTING_REF", r"\b(?i:listing)\s+\d+(?:[.\-]\d+){0,4}\b"),
+    ("NER_APPENDIX_REF_V1", "APPENDIX_REF", r"\b(?i:appendix)\s+\d+(?:\.\d+){0,3}\b"),
+    ("NER_CTD_LEAF_V1", "CTD_LEAF", r"\b(?i:module)\s+[1-5](?:\.\d+){0,3}\b"),
+    ("NER_STUDY_ID_V1", "STUDY_ID", r"\b(?:NCT\d{8}|[A-Z]{2,5}-\d{4}-\d{3,4}|PROT-[A-Z]{2,5}-\d{4,6})\b"),
     ("NER_FORM_REF_V1", "FORM_REF", r"\b(?i:form)\s+(?:(?i:fda|ich|ema)\s+\d{3,4}[A-Z]?|(?:FDA|ICH|EMA)-\d{3,4}[A-Z]?)\b"),
     ("NER_SITE_CODE_V1", "SITE_CODE", r"\b(?i:site|centre|center)\s+(?:[A-Z]{2}-\d{2,4}|\d{2,4})\b"),
     ("NER_IMP_BATCH_V1", "IMP_BATCH", r"\b(?:(?i:batch)\s+(?i:no\.|no|number|#)|(?i:lot))\s+[A-Z0-9]{4,12}(?:-[A-Z0-9]+)?\b"),
-    ("NER_AE_CODE_V1", "AE_CODE", r"\b(?i:meddra)\s+(?i:pt|soc|hlgt|llt):?\s+\w+"),
-    ("NER_SEQUENCE_REF_V1", "SEQUENCE_REF", r"\b(?i:sequence)\s+\d{4}\b"),
+    ("NER_AE_CODE_V1", "AE_CODE", r"\b(?i:meddra)\s+(?i:pt|soc|hlgt|llt)\b:?"),
+    ("NER_SEQUENCE_REF_V1", "SEQUENCE_REF", r"\b(?i:sequence|seq\.?)\s+\d{4}\b"),
 ]
 
+# What the groups of each pattern are called, in order.
+GROUP_NAMES = {
+    "STUDY_ID_SPONSOR_V1": ["sponsor", "year", "seq"], "STUDY_ID_PROTOCOL_V1": ["sponsor", "num"], "SECTION_REF_DOTTED_V1": ["num"], "SECTION_REF_LABELED_V1": ["num"],
+    "SECTION_REF_SIGIL_V1": ["num"], "TABLE_REF_NUMBERED_V1": ["num"], "FIGURE_REF_NUMBERED_V1": ["num"], "FIGURE_REF_LETTER_V1": ["num"], "LISTING_REF_NUMBERED_V1": ["num"],
+    "APPENDIX_REF_NUMBERED_V1": ["num"], "APPENDIX_REF_LETTER_V1": ["num"], "CTD_LEAF_PATH_V1": ["mod", "subpath"], "CTD_LEAF_MODULE_V1": ["mod", "sub"],
+    "EXT_REF_ICH_V1": ["code", "rev"], "EXT_REF_CFR_V1": ["title", "part", "sec"], "VISIT_REF_V1": ["unit", "n"],
+}
+
 #: What a text in lower case must hold, at least one of, for a pattern to match at all: a cheap search before the pattern runs.
 NEEDS = {
     "STUDY_ID_SPONSOR_V1": ["-"], "STUDY_ID_PROTOCOL_V1": ["prot-"], "STUDY_ID_NCT_V1": ["nct"], "URL_V1": ["://"], "SECTION_REF_DOTTED_V1": ["."],
@@ -53,7 +68,8 @@ NEEDS = {
     "DOC_REF_PROTOCOL_V1": ["protocol"], "DOC_REF_SAP_V1": ["statistical", "sap"], "DOC_REF_CSR_V1": ["clinical", "csr"], "DOC_REF_ISS_V1": ["integrated", "iss"],
     "DOC_REF_ISE_V1": ["integrated", "ise"], "DOC_ID_V1": ["_"], "CTD_LEAF_PATH_V1": ["m1/", "m2/", "m3/", "m4/", "m5/"], "CTD_LEAF_MODULE_V1": ["module"],
     "EXT_REF_ICH_V1": ["ich"], "EXT_REF_CFR_V1": ["cfr"], "EXT_REF_HELSINKI_V1": ["helsinki"], "EXT_REF_DOI_V1": ["10."], "VISIT_REF_V1": ["visit"],
-    "NER_FORM_REF_V1": ["form"], "NER_SITE_CODE_V1": ["site", "cent"], "NER_IMP_BATCH_V1": ["batch", "lot"], "NER_AE_CODE_V1": ["meddra"], "NER_SEQUENCE_REF_V1": ["sequence"],
+    "NER_SECTION_REF_V1": ["sec", "§"], "NER_TABLE_REF_V1": ["table"], "NER_FIGURE_REF_V1": ["figure"], "NER_LISTING_REF_V1": ["listing"], "NER_APPENDIX_REF_V1": ["appendix"],
+    "NER_CTD_LEAF_V1": ["module"], "NER_STUDY_ID_V1": ["nct", "-"], "NER_FORM_REF_V1": ["form"], "NER_SITE_CODE_V1": ["site", "cent"], "NER_IMP_BATCH_V1": ["batch", "lot"], "NER_AE_CODE_V1": ["meddra"], "NER_SEQUENCE_REF_V1": ["seq"],
 }
 
 # Words near a bare dotted number that make it a section, and what makes it a statistic.
@@ -73,6 +89,7 @@ PROTOCOL_NEXT = [
 ]
 PROTOCOL_PREVIOUS = ["per"]
 ACRONYMS = {"DOC_REF_SAP_V1": "SAP", "DOC_REF_CSR_V1": "CSR", "DOC_REF_ISS_V1": "ISS", "DOC_REF_ISE_V1": "ISE"}
+SPELLED = {"DOC_REF_SAP_V1": "statistical analysis plan", "DOC_REF_CSR_V1": "clinical study report", "DOC_REF_ISS_V1": "integrated summary of safety", "DOC_REF_ISE_V1": "integrated summary of efficacy"}
 CUE_WINDOW, PREVIOUS_WINDOW = 28, 12
 
 

@@ -46,20 +46,82 @@ def _rounds(max_rounds: int | None) -> Iterator[int]:
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
-def cycle_nodes(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(node): nodes on a cycle or on a path between cycles. Nodes without incoming or without outgoing edges are trimmed,
-    round by round, until none is left; each round is written to the shared folder. A link to itself is a cycle of one.
-    """
-    left = cut(edges.select("src", "dst").distinct())
+def _trimmed(left: DataFrame, max_rounds: int | None) -> tuple[DataFrame, int]:
+    """Edges left when those of nodes without incoming or without outgoing edges are taken away until none is left."""
     n = left.count()
     for _ in _rounds(max_rounds):
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         left = cut(kept.select("src", "dst"))
         m = left.count()
         if m == n:
-            break
+            return left, m
         n = m
-    return left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return left, n
+
+
+def cycle_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(node, component) of the nodes that lie on a cycle; a component is a set of nodes that all reach each other, named by one
+    of them. A link to itself is a cycle of one.
+
+    Strongly connected components by colouring: after trimming, every node takes the greatest (hash, name) that reaches it;
+    the nodes of a colour that reach its owner backwards are a component. What lies in none is coloured again.
+    """
+    left, n = _trimmed(cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct()), max_rounds)
+    own = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("name"))
+    found = None
+    for _ in _rounds(max_rounds):
+        if n == 0:
+            break
+        nodes = left.select(F.col("src").alias("node")).distinct()
+        color = cut(nodes.select("node", own("node").alias("c")))
+        for _ in _rounds(max_rounds):
+            brought = left.join(color.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("b"))
+            nxt = cut(color.join(brought, "node", "left").select("node", F.greatest("c", "b").alias("c"), (F.col("b") > F.col("c")).alias("grew")))
+            color = nxt.select("node", "c")
+            if nxt.where("grew").isEmpty():
+                break
+        same = cut(left.join(color.toDF("src", "a"), "src").join(color.toDF("dst", "b"), "dst").where(F.col("a") == F.col("b")).select("src", "dst"))
+        reached = frontier = cut(color.where(F.col("c.name") == F.col("node")).select("node", F.col("node").alias("component")))
+        for _ in _rounds(max_rounds):
+            back = same.join(frontier.select(F.col("node").alias("dst"), "component"), "dst").select(F.col("src").alias("node"), "component").distinct()
+            frontier = cut(back.join(reached.select("node"), "node", "left_anti"))
+            if frontier.isEmpty():
+                break
+            reached = cut(reached.unionByName(frontier))
+        alone = reached.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where("k = 1").select("component")
+        loops = same.where("src = dst").select(F.col("src").alias("component")).distinct()
+        cyclic = reached.join(alone.join(loops, "component", "left_anti"), "component", "left_anti").select("node", "component")
+        found = cyclic if found is None else found.unionByName(cyclic)
+        rest = left.join(reached.select(F.col("node").alias("src")), "src", "left_anti").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left, n = _trimmed(cut(rest.select("src", "dst")), max_rounds)
+    if found is None:
+        return left.select(F.col("src").alias("node"), F.col("src").alias("component"))
+    return found
+
+
+def cycle_nodes(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(node): nodes that lie on a cycle, see cycle_components."""
+    return cycle_components(edges, max_rounds).select("node")
+
+
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(step, node): a path of fewest edges, the smallest names first among equals; no row if there is none. Breadth first from
+    the source until the target is met, then back along the nodes a hop nearer.
+    """
+    reached = frontier = cut(edges.sparkSession.createDataFrame([(source, 0)], "node string, hops int"))
+    for hop in itertools.count(1):
+        if not frontier.where(F.col("node") == target).isEmpty():
+            break
+        nxt = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
+        frontier = cut(nxt.join(reached.select("node"), "node", "left_anti"))
+        if frontier.isEmpty():
+            return reached.limit(0).select(F.col("hops").alias("step"), "node")
+        reached = reached.unionByName(frontier)
+    at, path = target, [target]
+    for back in range(hop - 2, -1, -1):  # one lookup a hop: the path is the result, not a group
+        at = reached.where(F.col("hops") == back).join(edges.where(F.col("dst") == at).select(F.col("src").alias("node")), "node").agg(F.min("node")).first()[0]
+        path.append(at)
+    return edges.sparkSession.createDataFrame(list(enumerate(reversed(path))), "step int, node string")
 
 
 def distances(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:

@@ -76,17 +76,27 @@ def file_index(files: DataFrame, path: str = "source_path") -> DataFrame:
     )
 
 
-def sibling_pick(candidates: DataFrame, key: str) -> DataFrame:
-    """(key, picked): of each reference's candidates the only one, else the only one of the source's format, else the only
-    one in its folder, else null. candidates: (key, source, candidate) paths.
+def sibling_pick(references: DataFrame, files: DataFrame, key: str, group: list[str], own: str) -> DataFrame:
+    """(key, picked): of the files of each reference's group the only one, else the only one of the source's format, else the
+    only one in its folder, else null. Files that share ``own`` (a path or a stem) with the source are no candidates.
+
+    references: (key, *group, source, own); files: (*group, candidate, own). Files are counted per group, per format and per
+    folder, and a group's only candidate is its first or its last file by ``own``; files never meet files.
     """
     suffix = lambda c: F.lower(F.regexp_extract(c, r"\.([^.]*)$", 1))
     folder = lambda c: F.regexp_extract(c, r"^(.*)/", 1)
-    same_format = suffix("candidate") == suffix("source")
-    same_folder = folder("candidate") == folder("source")
-    only = lambda cond: F.when(F.count_if(cond) == 1, F.min(F.when(cond, F.col("candidate"))))
-    distinct = candidates.select(key, "source", "candidate").distinct()
-    return distinct.groupBy(key).agg(F.coalesce(only(F.lit(True)), only(same_format), only(same_folder)).alias("picked"))
+    once = files.select(*group, "candidate", own).distinct()
+    out, picks = references.select(key, *group, "source", own), []
+    for n, part in enumerate((lambda c: F.lit(""), suffix, folder)):
+        cols = [*group, f"_part{n}"]
+        f = once.withColumn(cols[-1], part(F.col("candidate")))
+        item = F.struct(own, "candidate")
+        stats = f.groupBy(*cols).agg(F.count(F.lit(1)).alias(f"_n{n}"), F.min(item).alias(f"_lo{n}"), F.max(item).alias(f"_hi{n}"))
+        mine = f.groupBy(*cols, own).agg(F.count(F.lit(1)).alias(f"_m{n}"))
+        out = out.withColumn(cols[-1], part(F.col("source"))).join(stats, cols, "left").join(mine, [*cols, own], "left")
+        other = F.when(F.col(f"_lo{n}.{own}") != F.col(own), F.col(f"_lo{n}.candidate")).otherwise(F.col(f"_hi{n}.candidate"))
+        picks.append(F.when(F.col(f"_n{n}") - F.coalesce(f"_m{n}", F.lit(0)) == 1, other))
+    return out.select(key, F.coalesce(*picks).alias("picked"))
 
 
 def token_overlap(name: Column, text: Column) -> Column:
@@ -95,30 +105,90 @@ def token_overlap(name: Column, text: Column) -> Column:
     return F.aggregate(F.filter(tokens, lambda t: (F.length(t) >= 3) & F.contains(text, t)), F.lit(0), lambda acc, t: acc + F.length(t))
 
 
-def target_of(pattern_id: Column, label: Column, text: Column, num: Column) -> Column:
-    """struct(kind, target) of a reference by its label: an address outside, or a bookmark key."""
+# Public addresses of standards and registries.
+ADDRESSES = {
+    "doi": "https://doi.org/", "helsinki": "https://www.wma.net/policies-post/wma-declaration-of-helsinki/", "ich": "https://www.ich.org/page/ich-guidelines",
+    "cfr": "https://www.ecfr.gov/current/title-", "nct": "https://clinicaltrials.gov/study/",
+}
+
+
+def target_of(pattern_id: Column, label: Column, text: Column, groups: Column) -> Column:
+    """struct(kind, target) of a reference by its label: an address outside, or a bookmark key. ``groups``: its named groups
+    (a map; absent ones are missing), for citations surname and year or num, for compounds compound_anchor_key.
+    """
     url = lambda x: F.struct(F.lit("external_url").alias("kind"), x.alias("target"))
     mark = lambda x: F.struct(F.lit("internal_bookmark").alias("kind"), x.alias("target"))
-    cfr = r"^(?:(\d{1,2})\s+(?:Code of Federal Regulations\s*)?)?\(?CFR\)?\s+(?:Part\s+)?(\d+)"
-    module = F.regexp_extract(text, r"(?:Module\s+|^m)([1-5])", 1)
-    sub = F.regexp_extract(text, r"(?:Module\s+|^m)[1-5][./](.+)$", 1)
+    g = lambda k: F.coalesce(F.try_element_at(groups, F.lit(k)), F.lit(""))
+    sub = F.when(g("sub") != "", g("sub")).otherwise(g("subpath"))
+    letters = F.regexp_replace(F.lower(g("surname")), "[^a-z]", "")
     return (
         F.when(label == "URL", url(text))
-        .when(pattern_id == "EXT_REF_DOI_V1", url(F.concat(F.lit("https://doi.org/"), text)))
-        .when(pattern_id == "EXT_REF_HELSINKI_V1", url(F.lit("https://www.wma.net/policies-post/wma-declaration-of-helsinki/")))
-        .when(pattern_id == "EXT_REF_ICH_V1", url(F.lit("https://www.ich.org/page/ich-guidelines")))
-        .when(pattern_id == "EXT_REF_CFR_V1", url(F.concat(F.lit("https://www.ecfr.gov/current/title-"), F.coalesce(F.nullif(F.regexp_extract(text, cfr, 1), F.lit("")), F.lit("21")), F.lit("/part-"), F.regexp_extract(text, cfr, 2))))
+        .when(pattern_id == "EXT_REF_DOI_V1", url(F.concat(F.lit(ADDRESSES["doi"]), text)))
+        .when(pattern_id == "EXT_REF_HELSINKI_V1", url(F.lit(ADDRESSES["helsinki"])))
+        .when(pattern_id == "EXT_REF_ICH_V1", url(F.lit(ADDRESSES["ich"])))
+        .when(pattern_id == "EXT_REF_CFR_V1", url(F.concat(F.lit(ADDRESSES["cfr"]), F.when(g("title") != "", g("title")).otherwise("21"), F.lit("/part-"), g("part"))))
+        .when(label == "EXT_REF", url(text))
+        .when(label.isin("DOC_REF", "DOC_ID") & (g("compound_anchor_key") != ""), mark(g("compound_anchor_key")))
         .when(label == "DOC_REF", mark(F.lit("doc_ref")))
         .when(label == "DOC_ID", mark(F.lit("doc_id")))
-        .when(label.isin(STRUCTURAL), mark(F.concat_ws("_", F.lower(label), F.translate(F.coalesce(F.nullif(num, F.lit("")), text), ".-", "__"))))
-        .when(pattern_id == "STUDY_ID_NCT_V1", url(F.concat(F.lit("https://clinicaltrials.gov/study/"), text)))
+        .when((label == "REF_CITE") & (g("surname") != "") & (g("year") != ""), mark(F.concat_ws("_", F.lit("ref"), letters, g("year"))))
+        .when((label == "REF_CITE") & (g("num") != ""), mark(F.concat(F.lit("ref_"), F.regexp_replace(g("num"), "^0+(?=.)", ""))))
+        .when(label == "REF_CITE", mark(F.lit("ref_heading")))
+        .when(label.isin(STRUCTURAL), mark(F.concat_ws("_", F.lower(label), F.translate(F.when(g("num") != "", g("num")).otherwise(text), ".-", "__"))))
+        .when(label == "VISIT_REF", mark(F.concat(F.lit("visit_ref_"), F.lower(g("unit")), F.lit("_"), g("n"))))
+        .when(pattern_id == "STUDY_ID_NCT_V1", url(F.concat(F.lit(ADDRESSES["nct"]), text)))
         .when(label == "STUDY_ID", mark(F.concat(F.lit("study_"), F.translate(text, "-", "_"))))
-        .when((label == "CTD_LEAF") & (sub != ""), mark(F.concat(F.lit("m"), module, F.lit("_"), F.translate(sub, "./", "__"))))
-        .when(label == "CTD_LEAF", mark(F.concat(F.lit("m"), module)))
+        .when((label == "CTD_LEAF") & (sub != ""), mark(F.concat(F.lit("m"), g("mod"), F.lit("_"), F.translate(sub, "./", "__"))))
+        .when((label == "CTD_LEAF") & (g("mod") != ""), mark(F.concat(F.lit("m"), g("mod"))))
+        .when(label == "CTD_LEAF", mark(F.lit("m?")))
         .otherwise(mark(text))
     )
 
 
+def module_of_groups(groups: Column) -> Column:
+    """Module a leaf reference names: digits of a hyphenated first path segment joined by dots if there are two or more, else
+    m<mod>.<first segment>, else m<mod>; null without a module.
+    """
+    g = lambda k: F.coalesce(F.try_element_at(groups, F.lit(k)), F.lit(""))
+    first = F.split(F.when(g("sub") != "", g("sub")).otherwise(g("subpath")), "/")[0]
+    digits = F.regexp_replace(first, "[^0-9]", "")
+    dotted = F.concat(F.lit("m"), F.substring(digits, 1, 1), F.lit("."), F.array_join(F.split(F.substring(digits, 2, 99), ""), "."))
+    return F.when(g("mod") != "", F.when(F.contains(first, F.lit("-")) & (F.length(digits) >= 2), dotted).when(first != "", F.concat(F.lit("m"), g("mod"), F.lit("."), first)).otherwise(F.concat(F.lit("m"), g("mod"))))
+
+
+def best_leaf(references: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(ref_id, leaf_id): the first leaf of exactly the module, else of the longest module that begins it (one direction)."""
+    first = leaves.where("module is not null").groupBy("module").agg(F.min(F.struct("ord", "leaf_id"))["leaf_id"].alias("leaf_id"))
+    wanted = references.where("module is not null").select("module").distinct()
+    heads = wanted.select("module", F.explode(F.transform(F.sequence(F.lit(1), F.length("module")), lambda n: F.expr("module").substr(F.lit(1), n))).alias("head"))
+    best = heads.join(first.withColumnRenamed("module", "head"), "head").groupBy("module").agg(F.max(F.struct(F.length("head").alias("n"), "leaf_id"))["leaf_id"].alias("leaf_id"))
+    return references.join(best, "module").select("ref_id", "leaf_id")
+
+
+def in_family(references: DataFrame, leaves: DataFrame, current_module: str | None = None) -> DataFrame:
+    """(ref_id, leaf_id, reason) of each reference (ref_id, label, module): its leaf, or why it has none. Only leaf references of
+    the current module's family are resolved here, of all families without one.
+    """
+    head = lambda c: F.split(c, r"\.")[0]
+    why = F.when(F.col("label") != "CTD_LEAF", "label").when(F.col("module").isNull(), "no module")
+    if current_module is not None:
+        why = why.when(head(F.col("module")) != head(F.lit(current_module)), "other family")
+    rows = references.withColumn("reason", why)
+    found = best_leaf(rows.where("reason is null"), leaves)
+    return rows.join(found, "ref_id", "left").select("ref_id", "leaf_id", F.coalesce("reason", F.when(F.col("leaf_id").isNull(), "no leaf")).alias("reason"))
+
+
+def leaf_cascade(references: DataFrame, leaves: DataFrame, least: float = 0.55) -> DataFrame:
+    """(ref_id, leaf_id, confidence, strategy) of every reference: by module, else by study id, else by title; null if none."""
+    ranked = (
+        leaf_by_module(references, leaves).withColumn("rank", F.lit(1))
+        .unionByName(leaf_by_study(references, leaves).select("*", F.lit("study_id").alias("strategy"), F.lit(2).alias("rank")))
+        .unionByName(leaf_by_title(references, leaves, least).select("*", F.lit("title").alias("strategy"), F.lit(3).alias("rank")))
+    )
+    best = ranked.groupBy("ref_id").agg(F.min(F.struct("rank", "leaf_id", "confidence", "strategy")).alias("b"))
+    return references.select("ref_id").join(best, "ref_id", "left").select("ref_id", "b.leaf_id", "b.confidence", "b.strategy")
+
+
 def module_of_path(path: Column) -> Column:
     """Module label of a leaf path: mN, with the leading numbers of the next folder if it has two or more; else unknown."""
     flat = F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^[./]+", ""))
@@ -157,13 +227,21 @@ def leaf_by_module(references: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def leaf_by_study(references: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(ref_id, leaf_id, confidence): the first leaf whose title, path or id holds the reference's study id (.92).
+    """(ref_id, leaf_id, confidence): the first leaf whose title, path or id holds the reference's study id (.92), whatever the
+    id's shape and whatever stands around it.
 
-    Study ids are taken out of the leaves by their shape, which turns the search for substrings into an equi-join.
+    A search for substrings as an equi-join: the pieces of the leaves' text that begin like an id (its first four signs, all
+    of a shorter one) and have its length meet the ids whole.
     """
-    text = F.concat_ws(" ", "title", "path", "leaf_id")
-    named = leaves.select("leaf_id", "ord", F.explode(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(r"[A-Z]{2,5}-\d{4}-\d{3,4}"), F.lit(0)))).alias("study_id"))
-    first = named.groupBy("study_id").agg(F.min(F.struct("ord", "leaf_id"))["leaf_id"].alias("leaf_id"))
+    text = F.upper(F.concat_ws(" ", "title", "path", "leaf_id"))
+    ids = references.where("study_id is not null and trim(study_id) <> ''").select(F.upper("study_id").alias("study_id")).distinct()
+    heads = ids.select(F.expr("left(study_id, 4)").alias("head"), F.length("study_id").alias("n")).distinct()
+    texts = leaves.select("leaf_id", "ord", text.alias("t"))
+    places = texts.select("leaf_id", "ord", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i")).where("t <> ''")
+    pieces = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.expr("t").substr(F.col("i"), k))
+    near = places.select("leaf_id", "ord", "t", "i", F.explode(F.array_distinct(pieces)).alias("head")).join(heads, "head")
+    met = near.select("leaf_id", "ord", F.col("t").substr(F.col("i"), F.col("n")).alias("study_id")).join(ids, "study_id", "left_semi")
+    first = met.groupBy("study_id").agg(F.min(F.struct("ord", "leaf_id"))["leaf_id"].alias("leaf_id"))
     return references.where("study_id is not null").select("ref_id", F.upper("study_id").alias("study_id")).join(first, "study_id").select("ref_id", "leaf_id", F.lit(0.92).alias("confidence"))
 
 

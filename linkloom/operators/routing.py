@@ -69,10 +69,8 @@ def resolve_documents(references: DataFrame, files: DataFrame) -> DataFrame:
     rest = settle(_typed(near, index, False).where("target is not null"), rest)
 
     # tokens of the file name in the text
-    words = index.select("dossier_id", "stem", "ord", F.col("source_path").alias("path"))
-    scored = rest.select("ref_id", "dossier_id", "src_stem", "ntext").join(words, "dossier_id").where("stem <> src_stem").withColumn("score", R.token_overlap(F.col("stem"), F.col("ntext"))).where(F.col("score") >= LEAST_OVERLAP)
-    best = scored.groupBy("ref_id").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "path")).alias("b"))
-    rest = settle(done(best, F.col("b.path"), "tokens"), rest)
+    best = _by_tokens(rest, index)
+    rest = settle(done(best, F.col("path"), "tokens"), rest)
     out.append(done(rest, F.lit(None), "none"))
     result = out[0]
     for o in out[1:]:
@@ -80,14 +78,41 @@ def resolve_documents(references: DataFrame, files: DataFrame) -> DataFrame:
     return result
 
 
+def _by_tokens(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """(ref_id, path): the file of the dossier, not of the source's stem, whose stem's tokens make up most letters of the text.
+
+    Distinct texts and tokens of a dossier meet at the tokens' first three signs. Per text the best file and the best of
+    another stem are kept, one of which is not the source's; references meet these two.
+    """
+    parts = F.transform(F.split(F.regexp_replace("stem", "[-_]", " "), r"\s+"), R.normal)
+    files = index.select("dossier_id", "stem", "ord", F.col("source_path").alias("path"), F.explode(parts).alias("token")).where("length(token) >= 3")
+    texts = refs.select("dossier_id", "ntext").where("length(ntext) >= 3").distinct()
+    heads = texts.select("dossier_id", "ntext", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("ntext") - 2), lambda i: F.col("ntext").substr(i, F.lit(3))))).alias("head"))
+    tokens = files.select("dossier_id", "token", F.expr("left(token, 3)").alias("head")).distinct()
+    held = heads.join(tokens, ["dossier_id", "head"]).where(F.contains("ntext", F.col("token"))).select("dossier_id", "ntext", "token")
+    scored = held.join(files, ["dossier_id", "token"]).groupBy("dossier_id", "ntext", "stem", "ord", "path").agg(F.sum(F.length("token")).alias("score")).where(F.col("score") >= LEAST_OVERLAP)
+    top = lambda df: df.groupBy("dossier_id", "ntext").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "path", "stem")).alias("b"))
+    scored = cut(scored.groupBy("dossier_id", "ntext", "stem").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "path")).alias("b")).select("dossier_id", "ntext", "stem", "b.score", (-F.col("b.o")).alias("ord"), "b.path"))
+    first = top(scored)
+    second = top(scored.join(first.select("dossier_id", "ntext", F.col("b.stem").alias("stem")), ["dossier_id", "ntext", "stem"], "left_anti")).withColumnRenamed("b", "c")
+    both = refs.select("ref_id", "dossier_id", "ntext", "src_stem").join(first, ["dossier_id", "ntext"]).join(second, ["dossier_id", "ntext"], "left")
+    return both.select("ref_id", F.when(F.col("b.stem") != F.col("src_stem"), F.col("b.path")).otherwise(F.col("c.path")).alias("path")).where("path is not null")
+
+
 def _typed(refs: DataFrame, index: DataFrame, own_type_ends: bool) -> DataFrame:
     """The first file of the wanted type and the source's study; else, unless the source itself is of that type and that
     ends the search, the pick among the dossier's files of that type. A row for every reference.
+
+    Files of one type and study are reduced to the first and the first of another stem before references meet them.
     """
     files = index.select("dossier_id", F.col("doc_type").alias("dt"), "stem", "study_key_v2", "ord", F.col("source_path").alias("candidate"))
-    cands = refs.join(files, ["dossier_id", "dt"]).where("stem <> src_stem")
-    same = cands.where((F.col("study_key_v2") != "") & (F.col("study_key_v2") == F.col("src_key"))).groupBy("ref_id").agg(F.min(F.struct("ord", "candidate"))["candidate"].alias("same"))
-    picked = R.sibling_pick(cands.select("ref_id", F.col("source_path").alias("source"), "candidate"), "ref_id")
+    group = ["dossier_id", "dt", "study_key_v2"]
+    stems = files.where("study_key_v2 <> ''").groupBy(*group, "stem").agg(F.min(F.struct("ord", "candidate")).alias("x"))
+    first = stems.groupBy(*group).agg(F.min(F.struct("x.ord", "x.candidate", "stem")).alias("b"))
+    second = stems.join(first.select(*group, F.col("b.stem").alias("stem")), [*group, "stem"], "left_anti").groupBy(*group).agg(F.min(F.struct("x.ord", "x.candidate", "stem")).alias("c"))
+    met = refs.select("ref_id", "dossier_id", "dt", "src_stem", F.col("src_key").alias("study_key_v2")).join(first, group).join(second, group, "left")
+    same = met.select("ref_id", F.when(F.col("b.stem") != F.col("src_stem"), F.col("b.candidate")).otherwise(F.col("c.candidate")).alias("same"))
+    picked = R.sibling_pick(refs.select("ref_id", "dossier_id", "dt", F.col("source_path").alias("source"), F.col("src_stem").alias("stem")), files.select("dossier_id", "dt", "candidate", "stem"), "ref_id", ["dossier_id", "dt"], "stem")
     both = refs.select("ref_id", "src_type", "dt").join(same, "ref_id", "left").join(picked, "ref_id", "left")
     ends = F.lit(own_type_ends) & (F.col("src_type") == F.col("dt"))
     return both.select("ref_id", F.coalesce("same", F.when(~ends, F.col("picked"))).alias("target"), F.when(F.col("same").isNotNull(), "same_study").when(ends, "self").otherwise("sibling").alias("strategy"))

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import patterns as P
 from linkloom.operators import detection as D
+from linkloom.plans.derived import DERIVED, derived_units
 from linkloom.runtime import table
 
-UNITS = "(SELECT doc_id, CAST(i - 1 AS INT) AS line_no, text FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE trim(text) <> '')"
+#: The lines of the documents and the derived lines.
+UNITS = f"(SELECT doc_id, line_no, text FROM {DERIVED} UNION ALL SELECT doc_id, CAST(i - 1 AS INT) AS line_no, text FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE trim(text) <> '')"
 
 
 def units(spark, sf_dir):
-    return D.text_units(table(spark, sf_dir, "documents"))
+    return D.text_units(table(spark, sf_dir, "documents")).unionByName(derived_units(spark, sf_dir))
 
 
 def sql_str(s: str) -> str:
@@ -62,7 +64,7 @@ def guarded_sql(p: P.Pattern) -> str:
         where = f"{nxt} NOT IN ({', '.join(map(sql_str, P.PROTOCOL_NEXT))}) AND {prev} <> 'per'"
     elif p.id in P.ACRONYMS:
         a = P.ACRONYMS[p.id]
-        where = f"(text = '{a}' OR NOT regexp_matches(substring(unit, span_end + 1), '^\\s*\\(\\s*{a}\\s*\\)'))"
+        where = f"(lower(text) <> '{P.SPELLED[p.id]}' OR NOT regexp_matches(lower(substring(unit, span_end + 1, {len(a) + 4})), '^\\s*\\(?\\s*{a.lower()}'))"
     else:
         where = "true"
     return f"SELECT doc_id, line_no, span_start, span_end, text FROM ({core}) WHERE {where}"
@@ -99,17 +101,30 @@ def agg_09_trace(spark, sf_dir):
     return D.detection_trace(D.detect(units(spark, sf_dir)))
 
 
-def llm_01_gate(spark, sf_dir):
+def ref_01_gate(spark, sf_dir):
     return D.refine_gate(D.detect(units(spark, sf_dir))).groupBy("source_layer", "refine").agg(F.count(F.lit(1)).alias("n"))
 
 
-def llm_02_context(spark, sf_dir):
-    u = units(spark, sf_dir)
-    hits = u.where(F.rlike("text", F.lit(P.ALL_PATTERNS[20].regex))).select("doc_id", "line_no", "text", F.explode(D.spans(F.col("text"), P.ALL_PATTERNS[7].regex)).alias("m"))
-    hits = u.where(F.rlike("text", F.lit(P.ALL_PATTERNS[7].regex))).select("doc_id", "line_no", "text", F.explode(D.spans(F.col("text"), P.ALL_PATTERNS[7].regex)).alias("m"))
+_TABLE_REF = P.ALL_PATTERNS[7]
+
+
+def ref_02_context(spark, sf_dir):
+    hits = units(spark, sf_dir).where(F.rlike("text", F.lit(_TABLE_REF.regex))).select("doc_id", "line_no", "text", F.explode(D.spans(F.col("text"), _TABLE_REF.regex)).alias("m"))
     return hits.select("doc_id", "line_no", "m.span_start", D.context_window(F.col("text"), F.col("m.span_start"), F.col("m.span_end")).alias("context"))
 
 
+def ref_02_candidates(spark, sf_dir):
+    """The at most six best candidates of each unit, as a refiner gets them: the limit is the operator's."""
+    found = D.detect(units(spark, sf_dir), resolve=False).select("doc_id", "line_no", "pattern_id", "confidence", "span_start", F.length("text").alias("n"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), (-F.col("n")).alias("n"), "span_start", "pattern_id"))), 1, D.MOST_CANDIDATES)
+    return found.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(best, lambda m: F.concat_ws("@", m["pattern_id"], m["span_start"])), " ").alias("candidates"))
+
+
+def ref_03_refined(spark, sf_dir):
+    found = D.detect(units(spark, sf_dir), resolve=False).where("confidence < 0.7").select("doc_id", "line_no", "pattern_id", "confidence", "span_start", "text", "source_layer")
+    return D.stub_refinement(found, ["doc_id", "line_no"])
+
+
 CITES = "(SELECT entry_id AS doc_id, 0 AS line_no, concat(split_part(leaf.title, ' ', 1), ' LN, ', regexp_extract(leaf.title, '-([0-9]{4})-', 1), '; see [', CAST(ord AS VARCHAR), ']') AS text FROM (SELECT DISTINCT ON (entry_id) * FROM timeline_entries) WHERE leaf.title IS NOT NULL)"
 
 
@@ -136,11 +151,6 @@ def cit_08_entry_keys(spark, sf_dir):
     return cite_units(spark, sf_dir).select("doc_id", D.entry_key(F.col("text")).alias("ref_key"))
 
 
-def cit_05_vocabulary(spark, sf_dir):
-    cites = D.author_year(cite_units(spark, sf_dir))
-    return D.vocabulary_hits(cites, cite_units(spark, sf_dir))
-
-
 def _gold(spark, sf_dir):
     rows = table(spark, sf_dir, "refs_dev").groupBy("example_id").agg(F.max(F.struct("text", "entities")).alias("r"))
     return rows.select(F.col("example_id").alias("unit"), "r.text", "r.entities")
@@ -150,8 +160,7 @@ def agg_11_span_scores(spark, sf_dir):
     g = _gold(spark, sf_dir)
     found = D.detect(g.select("unit", "text"), mode="regex")
     wanted = g.select("unit", F.explode("entities").alias("e")).select("unit", "e.label", "e.span_start", "e.span_end")
-    labels = wanted.select("label").distinct()
-    return D.span_scores(found.select("unit", "label", "span_start", "span_end").join(F.broadcast(labels), "label", "left_semi"), wanted)  # labels: those of the catalogue
+    return D.span_scores(found.select("unit", "label", "span_start", "span_end"), wanted)
 
 
 def agg_17_label_histogram(spark, sf_dir):
@@ -159,17 +168,50 @@ def agg_17_label_histogram(spark, sf_dir):
     return g.where("size(entities) > 0").select(F.explode("entities").alias("e")).groupBy("e.label").agg(F.count(F.lit(1)).alias("n"))
 
 
-for _f in (mrg_01_resolved, mrg_02_sorted, ext_03_layers, agg_09_trace, llm_01_gate, llm_02_context, cit_01_author_year, cit_03_numbered, cit_06_bibliography, cit_08_entry_keys, cit_05_vocabulary, agg_11_span_scores, agg_17_label_histogram):
+for _f in (mrg_01_resolved, mrg_02_sorted, ext_03_layers, agg_09_trace, ref_01_gate, ref_02_context, ref_02_candidates, ref_03_refined, cit_01_author_year, cit_03_numbered, cit_06_bibliography, cit_08_entry_keys, agg_11_span_scores, agg_17_label_histogram):
     QUERIES[_f.__name__] = _f
 
 _C = f"SELECT doc_id, line_no, span_start, span_end, regexp_extract(text, {sql_str(D.AUTHOR_YEAR)}, 1) AS surname, regexp_extract(text, {sql_str(D.AUTHOR_YEAR)}, 3) AS year FROM ({span_sql(D.AUTHOR_YEAR, CITES)})"
 _C = f"SELECT * FROM ({_C}) WHERE lower(surname) NOT IN ({', '.join(map(sql_str, D.MONTHS))})"
 SQL |= {
-    "llm_02_context": f"SELECT doc_id, line_no, span_start, trim({_window_sql(80)}) AS context FROM ({guarded_sql(P.ALL_PATTERNS[7]).replace('SELECT doc_id, line_no, span_start, span_end, text FROM', 'SELECT doc_id, line_no, span_start, span_end, unit FROM', 1)})",
+    "ref_02_context": f"SELECT doc_id, line_no, span_start, trim({_window_sql(80)}) AS context FROM ({guarded_sql(_TABLE_REF).replace('SELECT doc_id, line_no, span_start, span_end, text FROM', 'SELECT doc_id, line_no, span_start, span_end, unit FROM', 1)})",
     "cit_01_author_year": _C,
     "cit_03_numbered": f"SELECT doc_id, line_no, span_start, span_end, CAST(regexp_extract(text, '\\d+') AS INT) AS num FROM ({span_sql(D.NUMBERED, CITES)})",
     "cit_06_bibliography": f"WITH u AS {UNITS}, h AS (SELECT doc_id, min(line_no) AS first_line FROM u WHERE length(text) <= 40 AND regexp_matches(text, {sql_str(D.REFERENCES_HEAD)}) GROUP BY 1) SELECT u.doc_id, first_line, coalesce(min(CASE WHEN line_no > first_line AND length(text) <= 60 AND regexp_matches(text, {sql_str(D.NEXT_HEAD)}) THEN line_no END), max(line_no) + 1) AS end_line FROM u JOIN h USING (doc_id) GROUP BY ALL",
     "cit_08_entry_keys": f"SELECT doc_id, CASE WHEN regexp_matches(text, '^\\s*([A-Z][A-Za-z''’\\-]+)') AND regexp_matches(text, '\\b((?:19|20)\\d{{2}})\\b') THEN concat('ref_', regexp_replace(lower(regexp_extract(text, '^\\s*([A-Z][A-Za-z''’\\-]+)', 1)), '[^a-z]', '', 'g'), '_', regexp_extract(text, '\\b((?:19|20)\\d{{2}})\\b', 1)) END AS ref_key FROM {CITES}",
-    "cit_05_vocabulary": f"SELECT doc_id, line_no, surname, year FROM ({_C})",
     "agg_17_label_histogram": "SELECT label, count(*) AS n FROM (SELECT unnest(entities).label AS label FROM (SELECT DISTINCT ON (example_id) * FROM refs_dev)) GROUP BY 1",
 }
+
+
+def union_sql(mode: str) -> str:
+    """The matches of all patterns of a mode as one relation over the common table ``units``."""
+    parts = []
+    for p in P.registry(mode):
+        one = (guarded_sql(p) if p.layer == "regex" else span_sql(p.regex)).replace(UNITS, "units")
+        parts.append(f"SELECT doc_id, line_no, '{p.id}' AS pattern_id, '{p.layer}' AS source_layer, CAST({p.confidence} AS DOUBLE) AS confidence, {p.ordinal} AS ordinal, span_start, span_end, text FROM ({one})")
+    return " UNION ALL ".join(parts)
+
+
+#: Greedy choice per line, match by match in order of confidence, length, start and registry.
+RESOLVED = f"""
+WITH RECURSIVE units AS MATERIALIZED {UNITS}, matches AS MATERIALIZED ({union_sql("regex+ner")}),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY confidence DESC, span_end - span_start DESC, span_start, ordinal) AS k FROM matches),
+g AS (
+  SELECT doc_id, line_no, CAST(1 AS BIGINT) AS k, [{{'s': span_start, 'e': span_end, 'k': k}}] AS kept FROM ranked WHERE k = 1
+  UNION ALL
+  SELECT g.doc_id, g.line_no, r.k, CASE WHEN len(list_filter(g.kept, lambda z: z.s < r.span_end AND r.span_start < z.e)) > 0 THEN g.kept ELSE list_append(g.kept, {{'s': r.span_start, 'e': r.span_end, 'k': r.k}}) END
+  FROM g JOIN ranked r ON r.doc_id = g.doc_id AND r.line_no = g.line_no AND r.k = g.k + 1),
+last AS (SELECT doc_id, line_no, arg_max(kept, k) AS kept FROM g GROUP BY 1, 2),
+resolved AS (SELECT r.* FROM (SELECT doc_id, line_no, unnest(kept).k AS k FROM last) x JOIN ranked r USING (doc_id, line_no, k))
+"""
+_UNION = f"WITH units AS MATERIALIZED {UNITS}, matches AS MATERIALIZED"
+_BEST = "row_number() OVER (PARTITION BY doc_id, line_no ORDER BY confidence DESC, length(text) DESC, span_start, pattern_id) AS r"
+SQL |= {
+    "mrg_01_resolved": RESOLVED + "SELECT doc_id, line_no, pattern_id, span_start, span_end, text FROM resolved",
+    "mrg_02_sorted": f"{_UNION} ({union_sql('regex')}) SELECT doc_id, line_no, string_agg(pattern_id || '@' || span_start, ' ' ORDER BY span_start, confidence DESC, pattern_id) AS matches FROM matches GROUP BY 1, 2",
+    "ext_03_layers": RESOLVED + "SELECT source_layer, count(*) AS n FROM resolved GROUP BY 1",
+    "agg_09_trace": RESOLVED + "SELECT doc_id, count(*) AS total, count(*) FILTER (source_layer = 'regex') AS n_regex, count(*) FILTER (source_layer = 'ner') AS n_ner FROM resolved GROUP BY 1",
+    "ref_01_gate": RESOLVED + "SELECT CASE WHEN confidence < 0.7 THEN 'llm' ELSE source_layer END AS source_layer, confidence < 0.7 AS refine, count(*) AS n FROM resolved GROUP BY 1, 2",
+    "ref_02_candidates": f"{_UNION} ({union_sql('regex+ner')}) SELECT doc_id, line_no, string_agg(pattern_id || '@' || span_start, ' ' ORDER BY r) AS candidates FROM (SELECT *, {_BEST} FROM matches) WHERE r <= 6 GROUP BY 1, 2",
+    "ref_03_refined": f"{_UNION} ({union_sql('regex+ner')}) SELECT doc_id, line_no, pattern_id, round(confidence, 2) AS confidence, span_start, text, 'llm' AS source_layer FROM (SELECT *, {_BEST} FROM matches WHERE confidence < 0.7) WHERE r = 1",
+}

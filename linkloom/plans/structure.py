@@ -86,7 +86,10 @@ def anc_07_first_wins(spark, sf_dir):
     return A.first_definitions(d, ["doc_id", "anchor"], ["src_priority", "line_no"])
 
 
-@query("SELECT doc_id, line_no, regexp_extract(text, '\\b([0-9]+(?:\\.[0-9]+){0,4})\\b', 1) AS num FROM " + UNITS + " WHERE length(text) <= 80 AND regexp_matches(text, '\\b([0-9]+(?:\\.[0-9]+){0,4})\\b') AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+_NUMBER = r"(?:^|[^\p{L}\p{N}_])(\p{Nd}+(?:\.\p{Nd}+){0,4})(?:$|[^\p{L}\p{N}_])"
+
+
+@query(f"SELECT doc_id, line_no, regexp_extract(text, {sql_str(_NUMBER)}, 1) AS num FROM {UNITS} WHERE regexp_matches(text, {sql_str(_NUMBER)})")
 def anc_06_first_number(spark, sf_dir):
     return units(spark, sf_dir).select("doc_id", "line_no", A.first_number(F.col("text")).alias("num")).where("num is not null")
 
@@ -149,7 +152,7 @@ def par_13_counts(spark, sf_dir):
 @query(f"SELECT example_id, span_start, CASE WHEN label = 'STUDY_ID' THEN concat('study_', replace(ref, '-', '_')) ELSE concat(lower(label), '_', replace(replace(regexp_extract(ref, '[0-9][0-9.-]*$'), '.', '_'), '-', '_')) END AS target, 'internal_bookmark' AS kind FROM {ENTITIES}")
 def res_01_targets(spark, sf_dir):
     e = entities(spark, sf_dir)
-    t = R.target_of(F.lit(""), F.col("label"), F.col("ref"), F.regexp_extract("ref", "[0-9][0-9.-]*$", 0))
+    t = R.target_of(F.lit(""), F.col("label"), F.col("ref"), F.create_map(F.lit("num"), F.regexp_extract("ref", "[0-9][0-9.-]*$", 0)))
     return e.select("example_id", "span_start", t.alias("t")).select("example_id", "span_start", "t.target", "t.kind")
 
 
@@ -185,8 +188,11 @@ _SIB = f"""SELECT file_id, CASE WHEN n = 1 THEN a WHEN nf = 1 THEN f WHEN nd = 1
 @query(f"WITH k AS (SELECT file_id, dossier_id, doc_kind, p, lower(regexp_extract(p, '\\.([^.]*)$', 1)) AS x, regexp_extract(p, '^(.*)/', 1) AS g FROM (SELECT DISTINCT file_id, dossier_id, doc_kind, {_path('source_path')} AS p FROM dossier_docs WHERE doc_kind IS NOT NULL)) {_SIB}")
 def res_08_siblings(spark, sf_dir):
     d = table(spark, sf_dir, "dossier_docs").where("doc_kind is not null").select("file_id", "dossier_id", "doc_kind", path_key(F.col("source_path")).alias("p")).distinct()
-    pairs = d.select("file_id", "dossier_id", "doc_kind", F.col("p").alias("source")).join(d.select("dossier_id", "doc_kind", F.col("p").alias("candidate")), ["dossier_id", "doc_kind"]).where("source <> candidate")
-    return R.sibling_pick(pairs, "file_id")
+    group = ["dossier_id", "doc_kind"]
+    picked = R.sibling_pick(d.select("file_id", *group, F.col("p").alias("source"), "p"), d.select(*group, F.col("p").alias("candidate"), "p"), "file_id", group, "p")
+    # a file without any other of its kind has no row
+    others = d.groupBy(*group).agg(F.countDistinct("p").alias("n")).where("n > 1")
+    return picked.join(d.join(others, group).select("file_id").distinct(), "file_id")
 
 
 @query(f"SELECT DISTINCT l.link_text, list_sum(list_transform(list_filter(list_transform(string_split_regex(regexp_replace(f, '[-_]', ' ', 'g'), '\\s+'), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), lambda x: length(x) >= 3 AND contains(l.n, x)), lambda x: length(x))) AS score, f AS stem FROM (SELECT DISTINCT link_text, regexp_replace(lower(link_text), '[^a-z0-9]', '', 'g') AS n FROM link_records WHERE link_kind <> 'external_url') l, (SELECT DISTINCT regexp_replace(regexp_extract(doc_path, '([^/]*)$', 1), '\\.[^.]*$', '') AS f FROM shared_docs) WHERE score >= 4")
@@ -244,13 +250,15 @@ def leaf_03_by_study(spark, sf_dir):
 
 
 def leaf_04_by_title(spark, sf_dir):
+    """Titles to look up: those of the shared documents, and those of the leaves without their first word."""
     shared = table(spark, sf_dir, "shared_docs").select(F.concat_ws("|", "doc_path", "anchor_key").alias("ref_id"), "title")
-    return R.leaf_by_title(shared, leaves(spark, sf_dir), 0.3)
+    own = entries(spark, sf_dir).where("title is not null").select(F.concat(F.lit("e:"), F.col("entry_id").cast("string")).alias("ref_id"), F.regexp_replace("title", r"^\S+ ", "").alias("title"))
+    return R.leaf_by_title(shared.unionByName(own), leaves(spark, sf_dir))
 
 
 _W = "list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]{2,}'))"
-query(f"""WITH l AS {_LEAVES}, a AS (SELECT concat_ws('|', doc_path, anchor_key) AS ref_id, {_W} AS t FROM shared_docs), b AS (SELECT list_sort({_W}) AS t, arg_min(leaf_id, ord) AS leaf_id, min(ord) AS ord FROM l WHERE title IS NOT NULL GROUP BY 1)
-SELECT ref_id, leaf_id, round(s, 6) AS confidence FROM (SELECT ref_id, leaf_id, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS s, row_number() OVER (PARTITION BY ref_id ORDER BY s DESC, ord) AS k FROM a, b) WHERE k = 1 AND s >= 0.3""")(leaf_04_by_title)
+query(f"""WITH l AS {_LEAVES}, q AS (SELECT concat_ws('|', doc_path, anchor_key) AS ref_id, title FROM shared_docs UNION ALL SELECT 'e:' || entry_id, regexp_replace(title, '^\\S+ ', '') FROM {ENTRIES} WHERE title IS NOT NULL), a AS (SELECT list_sort({_W}) AS t, list(ref_id) AS ids FROM q GROUP BY 1), b AS (SELECT list_sort({_W}) AS t, arg_min(leaf_id, ord) AS leaf_id, min(ord) AS ord FROM l WHERE title IS NOT NULL GROUP BY 1)
+SELECT unnest(ids) AS ref_id, leaf_id, round(s, 6) AS confidence FROM (SELECT a.ids, leaf_id, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS s, row_number() OVER (PARTITION BY a.t ORDER BY s DESC, ord) AS k FROM a, b) WHERE k = 1 AND s >= 0.55""")(leaf_04_by_title)
 
 
 @query(None)

@@ -29,3 +29,12 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     """Sessions of a user, ended by a pause of ``gap``."""
     per = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return per.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def hydrated(stored: DataFrame, live: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row per key out of stored and live rows of the same columns: the live ones win over the stored ones, the last by
+    ``order`` among them.
+    """
+    rest = [c for c in stored.columns if c != key and c not in order]
+    both = stored.withColumn("_live", F.lit(0)).unionByName(live.withColumn("_live", F.lit(1)))
+    return both.groupBy(key).agg(F.max(F.struct("_live", *order, *rest)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in (*order, *rest)])

@@ -110,8 +110,92 @@ def test_leaf_strategies(spark):
 
 
 def test_siblings(spark):
-    c = spark.createDataFrame([(1, "d/a.docx", "d/b.docx"), (2, "d/a.docx", "d/b.docx"), (2, "d/a.docx", "e/c.pdf"), (3, "d/a.docx", "d/b.docx"), (3, "d/a.docx", "e/c.docx"), (4, "d/a.docx", "e/b.docx"), (4, "d/a.docx", "e/c.docx")], "k int, source string, candidate string")
-    assert rows(Z.sibling_pick(c, "k")) == [(1, "d/b.docx"), (2, "d/b.docx"), (3, "d/b.docx"), (4, None)]
+    cases = {1: ["d/b.docx"], 2: ["d/b.docx", "e/c.pdf"], 3: ["d/b.docx", "e/c.docx"], 4: ["e/b.docx", "e/c.docx"], 5: [], 6: ["d/a.docx", "e/z.pdf", "e/z.pdf"]}
+    files = spark.createDataFrame([(k, c, c) for k, cs in cases.items() for c in cs], "g int, candidate string, own string")
+    refs = spark.createDataFrame([(k, k, "d/a.docx", "d/a.docx") for k in cases], "k int, g int, source string, own string")
+    assert rows(Z.sibling_pick(refs, files, "k", ["g"], "own")) == [(1, "d/b.docx"), (2, "d/b.docx"), (3, "d/b.docx"), (4, None), (5, None), (6, "e/z.pdf")]
+
+
+def test_sibling_pick_against_all_pairs(spark):
+    rnd = random.Random(4)
+    paths = [f"{d}/{n}.{x}" for d in "pq" for n in "abc" for x in ("pdf", "docx")]
+    groups = {g: rnd.sample(paths, rnd.randrange(1, 5)) for g in range(40)}
+    data = [(g, p, p) for g, ps in groups.items() for p in ps]
+    asked = {g: rnd.choice(paths) for g in groups}
+    want = {}
+    for g, s in asked.items():
+        others = [p for p in groups[g] if p != s]
+        same = [p for p in others if p.split(".")[1] == s.split(".")[1]]
+        near = [p for p in others if p[0] == s[0]]
+        want[g] = next((x[0] for x in (others, same, near) if len(x) == 1), None)
+    refs = spark.createDataFrame([(g, g, s, s) for g, s in asked.items()], "k int, g int, source string, own string")
+    assert dict(rows(Z.sibling_pick(refs, spark.createDataFrame(data, "g int, candidate string, own string"), "k", ["g"], "own"))) == want
+
+
+def test_guards_of_acronyms(spark):
+    texts = ["Statistical Analysis Plan (SAP v2)", "statistical analysis plan SAP", "statistical analysis plan (sap", "statistical analysis plan of SAP", "statistical  analysis plan (SAP)", "statistical analysis plan"]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id int, line_no int, text string")
+    got = [(r.doc_id, r.text) for r in D.match_one(df, "DOC_REF_SAP_V1").orderBy("doc_id", "span_start").collect()]
+    assert got == [(0, "SAP"), (1, "SAP"), (3, "statistical analysis plan"), (3, "SAP"), (4, "statistical  analysis plan"), (4, "SAP"), (5, "statistical analysis plan")]
+
+
+def test_targets_of_all_labels(spark):
+    f = lambda p, la, t, **g: tuple(spark.range(1).select(Z.target_of(F.lit(p), F.lit(la), F.lit(t), F.create_map(*[F.lit(x) for kv in g.items() for x in kv]) if g else F.create_map().cast("map<string,string>")).alias("t")).first().t)
+    assert f("VISIT_REF_V1", "VISIT_REF", "Week 2 Visit", unit="Week", n="2") == ("internal_bookmark", "visit_ref_week_2")
+    assert f("REF_CITE_V1", "REF_CITE", "O'Brien 2019", surname="O'Brien", year="2019")[1] == "ref_obrien_2019" and f("", "REF_CITE", "[7]", num="07")[1] == "ref_7" and f("", "REF_CITE", "?")[1] == "ref_heading"
+    assert f("COMPOUND_REF_V1", "DOC_REF", "SAP Section 5.3", compound_anchor_key="section_ref_5_3")[1] == "section_ref_5_3" and f("EXT_REF_CFR_V1", "EXT_REF", "CFR 11", part="11")[1].endswith("title-21/part-11")
+    assert f("CTD_LEAF_PATH_V1", "CTD_LEAF", "m5/53-x/y", mod="5", subpath="53-x/y")[1] == "m5_53-x_y"
+    m = lambda **g: spark.range(1).select(Z.module_of_groups(F.create_map(*[F.lit(x) for kv in g.items() for x in kv]))).first()[0]
+    assert [m(mod="5", subpath="53-clin/x"), m(mod="2", sub="5.3"), m(mod="2"), m(x="1"), m(mod="3", subpath="7-a")] == ["m5.3", "m2.5.3", "m2", None, "m3.7-a"]
+
+
+def test_deprecated_ids_of_any_shape(spark):
+    u = spark.createDataFrame([(1, 0, "SP-2019-001B PROT-ABC-0001, NCT00000001;PROT-ABC-0001 (SP-2019-001) xSP-2019-001"), (2, 0, None), (3, 0, "")], "doc_id int, line_no int, text string")
+    reg = spark.createDataFrame([("SP-2019-001",), ("PROT-ABC-0001",), ("NCT00000001",), (None,)], "id string")
+    assert rows(C.deprecated_ids(u, reg)) == [(1, 0, "NCT00000001", 1), (1, 0, "PROT-ABC-0001", 2), (1, 0, "SP-2019-001", 2)]
+    with pytest.raises(ValueError):
+        C.deprecated_ids(u, spark.createDataFrame([("a b",)], "id string"))
+
+
+def test_rules(spark):
+    facts = {
+        "leaves": spark.createDataFrame([("l1", "日本", "A b.pdf"), ("l2", None, "ok.pdf"), ("l3", "𝒳", "x.pdf")], "leaf_id string, title string, path string"),
+        "pdfs": spark.createDataFrame([("p", " pdf/a-2b"), ("q", None)], "path string, format string"), "bookmarks": spark.createDataFrame([("p", 1), ("p", 3)], "path string, level int"),
+        "runs": spark.createDataFrame([("d", "x", "0000FF", False), ("d", "y", "0000FF", True), ("e", " ", "0000FF", None)], "doc string, text string, color string, is_hyperlink boolean"),
+    }
+    rules = [{"rule_id": v, "region": "us", "severity": "blocker" if "depth" in v else "warning", "validator": v} for v in (*C.rule_checks(), "nope")]
+    found, skipped = C.evaluate_rules(rules, facts)
+    assert {(r.rule_id, r.target) for r in found.collect()} == {
+        ("fda_bookmark_depth_min_3", "q"), ("ema_bookmark_depth_min_2", "q"), ("pmda_bookmark_depth_min_3", "q"), ("hc_bookmark_depth_min_3", "q"), ("pdf_a_2b_compliance", "q"), ("pdf_a_1b_or_2b_compliance", "q"),
+        ("hyperlink_color_blue", "d"), ("espre_filename_convention", "l1"), ("pmda_sjis_round_trip", "l3"),
+    } and skipped == ["nope"]
+    assert C.evaluate_rules(rules, facts, ["eu"]) == (None, [])
+    assert rows(C.rule_report(found)) == [("TOTAL", 9, 4, 5, False), ("us", 9, 4, 5, False)]
+
+
+def test_components_of_cycles(spark):
+    rnd = random.Random(6)
+    e = {(rnd.randrange(25), rnd.randrange(25)) for _ in range(34)}
+    reach = {n: set() for n in range(25)}
+    for n in reach:
+        todo = [b for a, b in e if a == n]
+        while todo:
+            x = todo.pop()
+            if x not in reach[n]:
+                reach[n].add(x)
+                todo += [b for a, b in e if a == x]
+    got = {r.node: r.component for r in G.cycle_components(spark.createDataFrame([(f"{a:02}", f"{b:02}") for a, b in e], "src string, dst string")).collect()}
+    assert set(got) == {f"{n:02}" for n in reach if n in reach[n]}
+    assert all((got[f"{a:02}"] == got[f"{b:02}"]) == (b in reach[a] and a in reach[b]) for a in reach if a in reach[a] for b in reach if b in reach[b])
+    path = G.shortest_path(spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "e")], "src string, dst string"), "a", "e")
+    assert rows(path) == [(0, "a"), (1, "b"), (2, "d"), (3, "e")]
+
+
+def test_refiner_replies(spark):
+    f = lambda t: spark.range(1).select(D.parse_refiner_reply(F.lit(t)).alias("r")).first().r
+    assert tuple(f('say {"id": "a", "confidence": 1.7, "rationale": "x"} done')) == ("a", 1.0, "x") and f("none") is None and f('{"confidence": 1}') is None
+    c = spark.createDataFrame([(1, 0.5, 0, "ab", "regex"), (1, 0.5, 3, "abc", "ner"), (2, 0.666, 0, "a", "ner")], "unit int, confidence double, span_start int, text string, source_layer string")
+    assert [(r.unit, r.text, r.confidence, r.source_layer) for r in D.stub_refinement(c, ["unit"]).orderBy("unit").collect()] == [(1, "abc", 0.5, "llm"), (2, "a", 0.67, "llm")]
 
 
 def test_graph(spark):

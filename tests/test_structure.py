@@ -11,5 +11,6 @@ LINES = ["6.3 Statistical Methods", "siehe § 3.1.2 für Größe", "L’étude 
 
 def test_first_number_of_every_line(spark, tmp_path):
     spark.createDataFrame([(1, "\n".join(LINES)), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
     want = sorted((1, i, m.group(1)) for i, t in enumerate(LINES) if (m := NUMBER.search(t)))
     assert rows(S.anc_06_first_number(spark, str(tmp_path)).select("doc_id", "line_no", "num")) == want and len(want) > 8
