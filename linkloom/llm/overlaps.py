@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.spelling import path_key
-from linkloom.runtime import cut, heavy_keys
+from linkloom.runtime import cut
 
 #: Texts are near-same if at most one word in EDIT_SHARE of the longer one must be edited.
 EDIT_SHARE = 5
@@ -21,7 +22,7 @@ EDIT_SHARE = 5
 GRAM, WINDOW = 3, 2
 #: Shorter texts also give every pair of words, which near-same texts of 5 words or more always share.
 SHORT, SHORT_GRAM = 20, 2
-#: Train records of one fingerprint that meet the other splits in one task.
+#: Records of one fingerprint and side that meet the other side's in one task.
 PER_TASK = 5_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -70,33 +71,37 @@ def edits(a: list[str], b: list[str], most: int) -> int | None:
     a, b = a[lo:ha], b[lo:hb]
     if not a or not b:
         return max(len(a), len(b)) if max(len(a), len(b)) <= most else None
-    far = most + 1
-    row = [j if j <= most else far for j in range(len(b) + 1)]
+    far, low = most + 1, 0
+    row = list(range(min(len(b), most) + 1))  # cells from column ``low`` on: only those within ``most`` of the diagonal
     for i, x in enumerate(a, 1):
-        new = [far] * (len(b) + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(max(1, i - most), min(len(b), i + most) + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
+        first, last = max(0, i - most), min(len(b), i + most)
+        new, left = [], far
+        for j in range(first, last + 1):
+            k = j - low
+            up = row[k] + 1 if k < len(row) else far
+            across = row[k - 1] + (x != b[j - 1]) if 0 < k <= len(row) and j else far
+            left = min(up, across, left + 1)
+            new.append(left)
         if min(new) > most:
             return None
-        row = new
+        row, low = new, first
     return row[-1] if row[-1] <= most else None
 
 
-def collinear(seeds: list[tuple[int, int]], most: int) -> bool:
-    """Whether seeds (position, position) chain within ``most`` edits: shifts along the best chain must not need more."""
-    best: list[int] = []
-    seeds = sorted(set(seeds))
-    for k, (i, j) in enumerate(seeds):
-        cost = abs(i - j)
-        for m in range(k):
-            if seeds[m][0] < i and seeds[m][1] < j:
-                cost = min(cost, best[m] + abs((i - seeds[m][0]) - (j - seeds[m][1])))
-        if cost <= most:
-            return True
-        best.append(cost)
-    return False
+def longest_chain(seeds: list[tuple[int, int]]) -> int:
+    """Most seeds (position, position) that follow each other in both texts; n log n by the last ends of chains of each length."""
+    ends: list[int] = []
+    for _, j in sorted(set(seeds), key=lambda s: (s[0], -s[1])):  # of one position's seeds only one can stand in a chain
+        k = bisect_left(ends, j)
+        ends[k : k + 1] = [j]
+    return len(ends)
+
+
+def least_seeds(n: int) -> int:
+    """Fewest seeds of near-same texts, the longer of n words. With d edits at most d + 1 runs of 3 equal words hold no window;
+    each further 2 equal words hold at least one minimum. Those seeds lie along the alignment, one after the other.
+    """
+    return max(1, -(-(n - 4 * (n // EDIT_SHARE) - 3) // 2))
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +132,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ca, cb, wa, wb, seeds in zip(*(b.column(c).to_pylist() for c in ("class_a", "class_b", "words_a", "words_b", "seeds"))):
             x, y = wa.split(" "), wb.split(" ")
             most = max(len(x), len(y)) // EDIT_SHARE
-            if collinear([(s["i"], s["j"]) for s in seeds], most) and (d := edits(x, y, most)) is not None:
+            if longest_chain([(s["i"], s["j"]) for s in seeds]) >= least_seeds(max(len(x), len(y))) and (d := edits(x, y, most)) is not None:
                 for col, v in zip(rows, (ca, cb, d, max(len(x), len(y)))):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32())], ["class_a", "class_b", "n_edits", "n_words"])
@@ -154,28 +159,30 @@ def near_classes(classes: DataFrame) -> DataFrame:
     """(class_a, class_b, n_edits, n_words): classes of train (a) and of the other splits (b) whose texts are near-same.
 
     Records meet at equal fingerprints; a join keeps only those whose lengths, positions and word signatures can belong to
-    near-same texts at all, which none of these texts fails. What is left is chained and aligned exactly. A fingerprint of
-    more than PER_TASK train records is spread over several tasks; nothing is capped.
+    near-same texts at all, which none of these texts fails. Pairs whose seeds form a chain of the least length are aligned
+    exactly, within the band of as many edits as they may have. A fingerprint of more than PER_TASK records on a side is parted
+    on that side, at any size of the input, and its parts meet those of the other side; nothing is capped.
     """
     prints = cut(classes.mapInArrow(_print, _PRINT))
-    train, other = prints.where("in_train").drop("in_train", "in_other"), prints.where("in_other").drop("in_train", "in_other")
-    hot = heavy_keys(train, ["fp"], PER_TASK)
-    counts = train.join(F.broadcast(hot), "fp", "left_semi").groupBy("fp").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("parts"))
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    left = train.join(F.broadcast(counts), "fp", "left").withColumn("part", F.pmod(F.xxhash64("class"), parts).cast("int")).drop("parts")
-    right = other.join(F.broadcast(counts), "fp", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    n = lambda side: F.ceil(F.count_if(side) / PER_TASK).cast("int")
+    counts = prints.groupBy("fp").agg(n(F.col("in_train")).alias("pa"), n(F.col("in_other")).alias("pb"))
+    # a join, since the fingerprints above PER_TASK grow with the input; few have more than one part
+    counts = cut(counts.where("pa > 0 and pb > 0 and (pa > 1 or pb > 1)"))
+    pa, pb = F.coalesce("pa", F.lit(1)), F.coalesce("pb", F.lit(1))
+    mine = lambda parts, salt: F.pmod(F.xxhash64("class", F.lit(salt)), parts).cast("int")
+    spread = prints.join(counts, "fp", "left")
+    left = spread.where("in_train").withColumn("part_a", mine(pa, 1)).withColumn("part_b", F.explode(F.sequence(F.lit(0), pb - 1))).drop("pa", "pb", "in_train", "in_other")
+    right = spread.where("in_other").withColumn("part_b", mine(pb, 2)).withColumn("part_a", F.explode(F.sequence(F.lit(0), pa - 1))).drop("pa", "pb", "in_train", "in_other")
     a, b = left.alias("a"), right.alias("b")
     most = F.floor(F.greatest("a.n", "b.n") / EDIT_SHARE)
     bits = F.bit_count(F.col("a.sig0").bitwiseXOR(F.col("b.sig0"))) + F.bit_count(F.col("a.sig1").bitwiseXOR(F.col("b.sig1")))
     met = a.join(
         b,
-        (F.col("a.fp") == F.col("b.fp")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.class") != F.col("b.class"))
+        (F.col("a.fp") == F.col("b.fp")) & (F.col("a.part_a") == F.col("b.part_a")) & (F.col("a.part_b") == F.col("b.part_b")) & (F.col("a.class") != F.col("b.class"))
         & (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (F.abs(F.col("a.pos") - F.col("b.pos")) <= most) & (bits <= 2 * most),
     ).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), F.struct(F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).alias("seed"), F.greatest("a.n", "b.n").alias("n"))
     pairs = met.groupBy("class_a", "class_b").agg(F.collect_set("seed").alias("seeds"), F.max("n").alias("n"))  # at most one seed per word
-    # Of a longer text of n words with d edits, at most d + 1 runs of 3 equal words hold no window; each further 2 equal words
-    # hold at least one minimum. No near-same pair has fewer seeds than that.
-    least = F.greatest(F.lit(1), F.ceil((F.col("n") - 4 * F.floor(F.col("n") / EDIT_SHARE) - 3) / 2))
+    least = F.greatest(F.lit(1), F.ceil((F.col("n") - 4 * F.floor(F.col("n") / EDIT_SHARE) - 3) / 2))  # least_seeds
     pairs = pairs.where(F.size(F.array_distinct(F.transform("seeds", lambda s: s["i"]))) >= least)
     words = classes.select("class", "words")
     texts = pairs.join(words.toDF("class_a", "words_a"), "class_a").join(words.toDF("class_b", "words_b"), "class_b")
