@@ -12,14 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.lost_signs import LOST, fill_lost, split
-from linkloom.runtime import cut, join_unique
+from linkloom.llm.lost_signs import LOST, fill_lost, skeleton, split
+from linkloom.runtime import cut, join_unique, spread
 
 #: Encodings a text may have been read in by mistake, and single-byte encodings it may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251")
 WRITTEN_IN = ("cp1252", "mac_roman", "cp850")
+#: Encodings of two bytes a sign it may have been written in.
+WRITTEN_WIDE = ("cp932", "euc_jp")
 #: Log-odds of entering and of leaving a damaged span, and the most that words add to or take from a UTF-8 reading's signs.
 SWITCH, WORDS_WEIGH = 2.0, 4.0
+#: Log-odds against bytes being lost in a chunk, and for each further sign whose rest is taken as lost.
+LOSS, LOSS_MORE = 4.0, 0.5
+#: Log-odds of a sign that stands for lost bytes: no sound text holds it.
+SURE = 50.0
 #: Part of a count that an unseen form gets.
 UNSEEN = 0.1
 #: Distinct forms a task counts before it hands its counts on.
@@ -44,6 +50,16 @@ TO_BYTE = {e: _bytes_of(e) for e in READ_AS}
 TO_SIGN = {e: {b: s for s, b in _bytes_of(e).items()} for e in WRITTEN_IN}
 
 
+def _sequence_shape() -> re.Pattern[str]:
+    """A lead byte and a byte that may follow it, as signs of one of READ_AS: what signs of wrong decodings look like."""
+    cls = lambda e, a, b: "[" + "".join(re.escape(s) for s, x in TO_BYTE[e].items() if a <= x <= b) + "]"
+    return re.compile("|".join(cls(e, 0xC2, 0xF4) + cls(e, 0x80, 0xBF) for e in READ_AS))
+
+
+_SEQUENCE = _sequence_shape()
+_LEADS = frozenset(s for e in READ_AS for s, x in TO_BYTE[e].items() if 0xC2 <= x <= 0xF4)
+
+
 def _utf8_length(b: int | None) -> int:
     return 0 if b is None or not 0xC2 <= b <= 0xF4 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
 
@@ -75,32 +91,47 @@ def undo_utf8(text: str, read_as: str) -> tuple[str, int, list[int]]:
 def candidates(chunk: str) -> list[tuple[str, str, int]]:
     """(channel, reading, valid sequences) of the ways ``chunk`` may have arisen, the chunk itself aside.
 
-    Lattice edges: a UTF-8 sequence read in one of READ_AS, repeatedly if it was garbled repeatedly; a lead byte whose rest
-    is lost, as each sign it may begin (two-byte signs); each sign of one single-byte encoding read in another.
+    Lattice edges: a UTF-8 sequence read in one of READ_AS, repeatedly if it was garbled repeatedly; lead bytes whose rest is
+    lost, each as a wildcard (the lost sign), a single one of two bytes also as each sign it may begin; signs lost already;
+    each sign of one single-byte encoding read in another; signs of two bytes read as two.
     """
     found = []
+    if LOST in chunk:
+        found.append(("lost", chunk, 0))
     for e in READ_AS:
         text, n, lost = undo_utf8(chunk, e)
         sequences = n
         total, deeper = n, text
-        for _ in range(3):
-            if not n:
-                break
+        while n:  # each turn shortens the text
             found.append((e, deeper, total))  # each depth is a reading: a further one may be chance
             deeper, n = max((undo_utf8(deeper, x)[:2] for x in READ_AS), key=lambda r: r[1])
             total += n
+        if lost:
+            signs_of = list(text)
+            for i in lost:
+                signs_of[i] = LOST
+            found.append((e, "".join(signs_of), sequences))
         if len(lost) == 1 and (lead := TO_BYTE[e].get(text[lost[0]])) is not None and lead < 0xE0:
             head, tail = text[: lost[0]], text[lost[0] + 1 :]
             found += [(e, head + bytes([lead, x]).decode("utf-8") + tail, sequences) for x in range(0x80, 0xC0)]
     for read in READ_AS:
-        if read == "latin-1":
-            continue
         table = TO_BYTE[read]
-        for written in WRITTEN_IN:
-            if written != read and all(s in table or s < "\x80" for s in chunk):
+        if not all(s in table or s < "\x80" for s in chunk):
+            continue
+        for written in WRITTEN_IN if read != "latin-1" else ():
+            if written != read:
                 text = "".join(TO_SIGN[written][table[s]] if s >= "\x80" else s for s in chunk)
                 if text != chunk and not any(unicodedata.category(s) == "Cc" for s in text):
                     found.append((f"{written}>{read}", text, 0))
+        raw = bytes(table[s] if s >= "\x80" else ord(s) for s in chunk)
+        for wide in WRITTEN_WIDE:
+            try:
+                text = raw.decode(wide)
+            except UnicodeDecodeError:
+                continue
+            n = sum("\u3040" <= s <= "\u30ff" or "\u4e00" <= s <= "\u9fff" for s in text)
+            if n > 1:
+                found.append((f"{wide}>{read}", text, n))
     return list(dict.fromkeys(found))
 
 
@@ -120,12 +151,14 @@ def tokens(form: str) -> list[str]:
 
 
 def signs(text: str) -> list[str]:
-    return ["h" + s for s in text if s >= "\x80"]
+    return ["h" + s for s in text if s >= "\x80" and s != LOST]
 
 
 def log_likelihood(form: str, counts: dict[str, int], n: int) -> float:
-    """Of a form: as a whole or as its parts, whichever is likelier."""
+    """Of a form: as a whole or as its parts, whichever is likelier; with lost signs, of all forms that fit."""
     p = lambda t: math.log((counts.get(t, 0) + UNSEEN) / n)
+    if LOST in form:
+        return p("s" + skeleton(form))
     parts = tokens(form)
     return max(p("c" + form), sum(map(p, parts)) if parts else p("c" + form))
 
@@ -171,19 +204,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (kind t: words, signs in context, whole non-ASCII forms) and places of non-ASCII chunks (kind o)."""
+    """Counts (kind t: words, signs in context, whole non-ASCII forms and their skeletons) and places of non-ASCII chunks (kind o).
+    Chunks that look like wrong decodings are counted apart (g): they speak for themselves, but for no other chunk's reading.
+    """
     seen: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
         counts: Counter[str] = Counter()
         for chunk, n in seen.items():
-            form = shape(chunk)
+            form, mark = shape(chunk), ""
             if not chunk.isascii():
-                counts["c" + form] += n
+                mark = "g" if LOST in chunk or _SEQUENCE.search(chunk) else ""  # not evidence of what is sound
+                counts[mark + "c" + form] += n
+                counts[mark + "s" + skeleton(form)] += n
                 for t in signs(chunk):
-                    counts[t] += n
+                    counts[mark + t] += n
             for t in tokens(form):
-                counts[t] += n
+                counts[mark + t] += n
         seen.clear()
         return _batch([("t", t, n, None, None) for t, n in counts.items()])
 
@@ -202,6 +239,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def needed(text: str, wild: bool) -> set[str]:
+    """The counts a text's likelihood asks for."""
+    form = shape(text)
+    return {"s" + skeleton(form)} if wild and LOST in form else {"c" + form, *tokens(form), *signs(text)}
+
+
 _NEEDS = "raw string, token string"
 
 
@@ -209,10 +252,10 @@ def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raws, toks = [], []
         for raw in b.column("raw").to_pylist():
-            need: set[str] = set()
-            for text in [raw, *(c[1] for c in candidates(raw))]:
-                form = shape(text)
-                need |= {"c" + form, *tokens(form), *signs(text)}
+            need = needed(raw, False)
+            need |= {"g" + t for t in need}
+            for c in candidates(raw):
+                need |= needed(c[1], True)
             raws += [raw] * len(need)
             toks += need
         yield pa.RecordBatch.from_arrays([pa.array(raws, pa.string()), pa.array(toks, pa.string())], ["raw", "token"])
@@ -226,15 +269,44 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raws, out = [], []
         for raw, known, total in zip(*(b.column(c).to_pylist() for c in ("raw", "known", "total"))):
             counts = {k["token"]: k["n"] for k in known or ()}
+            own_counts = Counter(counts)
+            for t, k in counts.items():
+                if t[0] == "g":
+                    own_counts[t[1:]] += k
             n = float(total)
-            p = lambda text: sum(math.log((counts.get(t, 0) + UNSEEN) / n) for t in signs(text))
-            own, own_signs, best = log_likelihood(shape(raw), counts, n), p(raw), {}
+            p = lambda text, seen: sum(math.log((seen.get(t, 0) + UNSEEN) / n) for t in signs(text))
+            own = log_likelihood(shape(raw), own_counts, n) if LOST not in raw else 0.0
+            for t in {"c" + shape(raw), *tokens(shape(raw))}:
+                own_counts[t] = max(0, own_counts[t] - 1)
+            alone = log_likelihood(shape(raw), own_counts, n) if LOST not in raw else 0.0  # but for this occurrence
+            own_signs, best = p(raw, own_counts), {}
             for channel, text, sequences in candidates(raw):
+                if channel == "lost":
+                    best[channel] = {"channel": channel, "text": text, "gain": SURE}
+                    continue
+                wild = text.count(LOST) - raw.count(LOST)
+                if wild and not any(s.isalnum() and s != LOST for s in text):
+                    continue  # nothing is left that a known form could fit
+                if wild and not sequences:
+                    # forms that fit, the chunk itself apart
+                    others = counts.get("s" + skeleton(shape(text)), 0) - (counts.get("c" + shape(raw), 0) if skeleton(shape(raw)) == skeleton(shape(text)) else 0)
+                    gain = math.log((max(others, 0) + UNSEEN) / n) - alone - LOSS - LOSS_MORE * (wild - 1)
+                    if channel not in best or gain > best[channel]["gain"]:
+                        best[channel] = {"channel": channel, "text": text, "gain": gain}
+                    continue
+                if channel.split(">")[0] in WRITTEN_WIDE and not all(counts.get(t) for t in signs(text)):
+                    continue  # signs that no sound text holds are chance
                 gain = log_likelihood(shape(text), counts, n) - own
-                if sequences:
-                    gain = p(text) - own_signs + max(-WORDS_WEIGH, min(WORDS_WEIGH, gain))
+                if wild:
+                    # what is lost can't speak for the reading: neither its signs nor the whole form
+                    before, _, lost = undo_utf8(raw, channel)
+                    gain = p(text, counts) - own_signs + p("".join(before[i] for i in lost), own_counts) - LOSS - LOSS_MORE * (wild - 1)
+                elif sequences:
+                    gain = p(text, counts) - own_signs + max(-WORDS_WEIGH, min(WORDS_WEIGH, gain))
                 elif ">" not in channel or len(raw) == 1:
                     gain /= 2  # a guess at lost bytes and a sign on its own need support by their neighbours
+                if LOST in raw:
+                    gain += SURE
                 if channel not in best or gain > best[channel]["gain"]:
                     best[channel] = {"channel": channel, "text": text, "gain": gain}
             raws.append(raw)
@@ -253,11 +325,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             path = span_path([c["readings"] or [] for c in chunks])
             fix = []
             for c, r in zip(chunks, path):
-                text = r["text"] if r and r["text"] != c["raw"] else None
-                if LOST in c["raw"]:
-                    text = text or c["raw"]
-                if text is not None:
-                    fix.append({"pos": c["pos"], "text": text})
+                if r and (r["text"] != c["raw"] or r["channel"] == "lost"):
+                    fix.append({"pos": c["pos"], "text": r["text"]})
             if fix:
                 ids.append(doc_id)
                 fixes.append(fix)
@@ -266,7 +335,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def damaged_chunks(documents: DataFrame) -> DataFrame:
     """(doc_id, fixes): of each document with damage, the places of its damaged chunks (runs between white space) and their
-    restored text, in which lost signs still stand (see fill_lost).
+    restored text, in which lost signs still stand (see fill_lost). Every chunk takes its reading from the path.
 
     Frequencies are counted over all documents and joined to the readings of the distinct suspect chunks; documents meet
     readings by chunk. Nothing that grows with the documents is broadcast or collected.
@@ -277,12 +346,12 @@ def damaged_chunks(documents: DataFrame) -> DataFrame:
     counts = cut(scan.where("kind = 't'").groupBy("form").agg(F.sum("n").alias("n")))
     raws = cut(places.groupBy("raw").agg(F.count(F.lit(1)).alias("n")))
     total = counts.where("form like 'w%'").agg(F.greatest(F.sum("n"), F.lit(1)).alias("total"))
-    needs = raws.select("raw").mapInArrow(_needs, _NEEDS)
-    known = needs.join(counts.withColumnRenamed("form", "token"), "token", "left").groupBy("raw").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("token", "n"))).alias("known"))
+    needs = cut(spread(raws.select("raw")).mapInArrow(_needs, _NEEDS))
+    known = join_unique(needs, counts.withColumnRenamed("form", "token"), ["token"], "left").groupBy("raw").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("token", "n"))).alias("known"))
     readings = known.crossJoin(F.broadcast(total)).mapInArrow(_readings, "raw string, readings array<struct<channel:string,text:string,gain:double>>")  # total: one row
 
     scored = cut(readings)
-    suspect = scored.where(F.contains("raw", F.lit(LOST)) | F.exists("readings", lambda r: r["gain"] > 0)).select("raw")
+    suspect = scored.where(F.exists("readings", lambda r: r["gain"] > 0)).select("raw")
     docs = cut(join_unique(places.select("doc_id", "raw"), suspect, ["raw"], "left_semi").select("doc_id").distinct())
     inside = places.join(docs, "doc_id", "left_semi")
     texts = join_unique(inside, scored, ["raw"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "raw", "readings")).alias("chunks"))  # one document's chunks

@@ -347,6 +347,7 @@ def restored(spark):
     texts = SOUND * 30 + ODD * 2
     start = len(texts)
     cases = [(t, c) for t in SOUND[:4] for c in ("cp1252", "latin-1", "cp437", "mac_roman", "cp1250", "twice", "lost")] + [(SOUND[4], "cp1252")]
+    cases += [(SOUND[4], "cp932>latin-1"), (SOUND[4], "euc_jp>latin-1")]
     cases += [(t, c) for t in SOUND[:3] for c in ("cp1252>cp437", "cp1252>mac_roman", "cp1252>cp1251")if t.encode("cp1252", "ignore").decode("cp1252") == t]
     texts += [broken(t, c) for t, c in cases] + [None, ""]
     df = docs(spark, [(t, "s") for t in texts])
@@ -364,6 +365,15 @@ def test_garbled_texts_are_restored(restored):
     assert sum(right) >= 0.85 * len(cases), [(c, got[start + k]) for k, (t, c) in enumerate(cases) if not right[k]]
 
 
+def test_every_lost_place_is_in_the_lattice():
+    texts = {t for _, t, _ in encoding.candidates("rÃsumÃ")}
+    assert "r\ufffdsum\ufffd" in texts and "applicant\ufffds" in {t for _, t, _ in encoding.candidates("applicantâs")}
+    deep = "é"
+    for _ in range(5):
+        deep = broken(deep, "cp1252")
+    assert "é" in {t for _, t, _ in encoding.candidates(deep)}
+
+
 def test_garbled_empty(spark):
     assert rows(encoding.restore_texts(docs(spark, [("x", "s")]).limit(0))) == []
 
