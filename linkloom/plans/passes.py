@@ -137,45 +137,47 @@ HITS = f"(SELECT doc_id, line_no, CAST(span_start AS INT) AS span_start, CAST(sp
 VOCAB = f"{WITH}, v AS MATERIALIZED {VOCABULARY}, h0 AS MATERIALIZED {HITS}, h AS (SELECT * FROM h0 x WHERE NOT EXISTS (SELECT 1 FROM h0 y WHERE y.doc_id = x.doc_id AND y.line_no = x.line_no AND y.span_start < x.span_end AND x.span_start < y.span_end AND (y.span_start < x.span_start OR (y.span_start = x.span_start AND y.span_end > x.span_end))))"
 
 
-def _ranges(spark, sf_dir):
-    return D.bibliography(units(spark, sf_dir))
+def _units(spark, sf_dir):
+    """The lines as a table, for passes that read them several times."""
+    return cut(units(spark, sf_dir))
 
 
-def _entries(spark, sf_dir):
-    return A.bibliography_entries(units(spark, sf_dir), _ranges(spark, sf_dir), D.entry_key)
+def _entries(u):
+    return A.bibliography_entries(u, D.bibliography(u), D.entry_key)
 
 
-def _vocabulary(spark, sf_dir):
-    u, r = units(spark, sf_dir), _ranges(spark, sf_dir)
-    inside = u.join(r, "doc_id").where("line_no > first_line and line_no < end_line")
+def _vocabulary(u):
+    inside = u.join(D.bibliography(u), "doc_id").where("line_no > first_line and line_no < end_line")
     return D.reference_vocabulary(inside.select("doc_id", "line_no", "text"))
 
 
 @query(f"{WITH} SELECT doc_id, surname, year, ref_key FROM {VOCABULARY}")
 def cit_04_vocabulary(spark, sf_dir):
-    return _vocabulary(spark, sf_dir)
+    return _vocabulary(_units(spark, sf_dir))
 
 
 @query(f"{VOCAB} SELECT * FROM h")
 def cit_05_vocabulary_hits(spark, sf_dir):
-    return D.vocabulary_hits(_vocabulary(spark, sf_dir), units(spark, sf_dir))
+    u = _units(spark, sf_dir)
+    return D.vocabulary_hits(_vocabulary(u), u)
 
 
 @query(f"{VOCAB}, c AS {CITES} SELECT doc_id, line_no, span_start, span_end, surname, year, 'regex' AS layer FROM c UNION ALL SELECT doc_id, line_no, span_start, span_end, surname, year, 'model' FROM h WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = h.doc_id AND c.line_no = h.line_no AND c.span_start < h.span_end AND h.span_start < c.span_end)")
 def cit_02_merged(spark, sf_dir):
     """The hits of the closed vocabulary stand for a model's."""
-    u = units(spark, sf_dir)
-    return D.merged_citations(D.author_year(u), D.vocabulary_hits(_vocabulary(spark, sf_dir), u))
+    u = _units(spark, sf_dir)
+    return D.merged_citations(D.author_year(u), D.vocabulary_hits(_vocabulary(u), u))
 
 
 @query(f"{WITH} SELECT c.* FROM {CITES} c LEFT JOIN {RANGES} r USING (doc_id) WHERE first_line IS NULL OR line_no < first_line OR line_no >= end_line")
 def cit_07_outside(spark, sf_dir):
-    return D.outside_bibliography(D.author_year(units(spark, sf_dir)), _ranges(spark, sf_dir))
+    u = _units(spark, sf_dir)
+    return D.outside_bibliography(D.author_year(u), D.bibliography(u))
 
 
 @query(f"{WITH} SELECT doc_id, line_no, ref_key FROM {ENTRIES} WHERE ref_key IS NOT NULL")
 def anc_12_entries(spark, sf_dir):
-    return _entries(spark, sf_dir)
+    return _entries(_units(spark, sf_dir))
 
 
 # the anchor index
@@ -207,29 +209,29 @@ _SOURCES = " UNION ALL ".join(
 INDEX = f"{WITH}, s AS MATERIALIZED {_STYLED}, f AS MATERIALIZED ({_SOURCES}), x AS MATERIALIZED (SELECT doc_id, anchor_key, p AS src_priority, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, anchor_key ORDER BY p, line_no) AS r FROM f WHERE anchor_key IS NOT NULL) WHERE r = 1)"
 
 
-def _index(spark, sf_dir):
-    u = units(spark, sf_dir)
+def _index(u):
     style = F.when((F.col("line_no") % 11).isin(0, 8), "Heading 2").when(F.col("line_no") % 13 == 5, "Title").otherwise("Normal")
     lines = u.select("*", style.alias("style"), (F.col("line_no") % 7 == 6).alias("bold"))
     found = cut(D.matches_of(u, CAPTIONS).select("doc_id", "line_no", "label", "text", F.try_element_at("groups", F.lit("num")).alias("num")))
-    return A.first_definitions(A.anchor_sources(lines, found, _entries(spark, sf_dir)), ["doc_id", "anchor_key"], ["src_priority", "line_no"])
+    return A.first_definitions(A.anchor_sources(lines, found, _entries(u)), ["doc_id", "anchor_key"], ["src_priority", "line_no"])
 
 
 @query(f"{INDEX} SELECT * FROM x")
 def anc_07_six_sources(spark, sf_dir):
-    return _index(spark, sf_dir)
+    return _index(_units(spark, sf_dir))
 
 
 @query(f"{INDEX} SELECT doc_id, anchor_key, src_priority, line_no FROM x WHERE anchor_key LIKE 'visit_ref_%'")
 def anc_11_visits(spark, sf_dir):
-    return _index(spark, sf_dir).where("anchor_key like 'visit_ref_%'")
+    return _index(_units(spark, sf_dir)).where("anchor_key like 'visit_ref_%'")
 
 
 @query(f"""{INDEX}, k AS (SELECT DISTINCT doc_id, 'ref_' || lower(surname) || '_' || year AS anchor_key FROM {CITES}), h AS (SELECT doc_id, line_no AS head FROM x WHERE anchor_key = 'ref_heading')
 SELECT k.doc_id, k.anchor_key, coalesce(x.line_no, h.head) AS line_no, x.line_no IS NULL AND h.head IS NOT NULL AS fallback FROM k LEFT JOIN x ON x.doc_id = k.doc_id AND x.anchor_key = k.anchor_key LEFT JOIN h ON h.doc_id = k.doc_id""")
 def res_14_fallback(spark, sf_dir):
-    cites = D.author_year(units(spark, sf_dir)).select("doc_id", F.concat_ws("_", F.lit("ref"), F.lower("surname"), "year").alias("anchor_key"))
-    return A.with_fallback(cites, _index(spark, sf_dir))
+    u = _units(spark, sf_dir)
+    cites = D.author_year(u).select("doc_id", F.concat_ws("_", F.lit("ref"), F.lower("surname"), "year").alias("anchor_key"))
+    return A.with_fallback(cites, cut(_index(u)))
 
 
 # leaves of references

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -125,19 +126,45 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("action is not null")
 
 
+def _yaml(path: str) -> dict | None:
+    """A YAML file's content; None if there is no such file. Without the yaml package the ImportError goes on: no file may pass
+    for an empty one.
+    """
+    if not os.path.exists(path):
+        return None
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f)
+
+
 def read_rules(path: str) -> list[dict]:
     """Rules of a YAML file of regions; a missing file and unknown regions give none, an unknown severity is warning."""
-    try:
-        import yaml
-
-        with open(path, encoding="utf-8") as f:
-            blocks = yaml.safe_load(f) or {}
-    except (ImportError, FileNotFoundError):
-        return []
     rules = []
-    for region, items in blocks.items():
+    for region, items in (_yaml(path) or {}).items():
         if region not in REGIONS.values() or not isinstance(items, list):
             continue
         for r in items:
             rules.append({"rule_id": r["id"], "region": region, "severity": r.get("severity") if r.get("severity") in ("info", "warning", "blocker") else "warning", "validator": r.get("validator", ""), "params": r.get("params") or {}})
     return rules
+
+
+def read_deprecated_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(id, reason, replaced_by, since) of a YAML registry; entries without id, and a missing or malformed file, give none."""
+    try:
+        content = _yaml(path)
+    except ValueError:  # the yaml package's errors are no ValueErrors; a file that isn't text is
+        content = None
+    except Exception as e:  # noqa: BLE001
+        if type(e).__name__ != "YAMLError" and not any(c.__name__ == "YAMLError" for c in type(e).__mro__):
+            raise
+        content = None
+    items = content.get("deprecated") if isinstance(content, dict) else None
+    rows = [tuple(None if r.get(k) is None else str(r[k]) for k in ("id", "reason", "replaced_by", "since")) for r in items or [] if isinstance(r, dict) and r.get("id")]
+    return spark.createDataFrame(rows, "id string, reason string, replaced_by string, since string")
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A link report as it was written: columns as text, empty cells as empty text, status in lower case."""
+    rows = spark.read.option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true").csv(path)
+    return rows.select(*[F.coalesce(F.lower(c) if c == "status" else F.col(c), F.lit("")).alias(c) for c in rows.columns])

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from linkloom.operators.reporting import by_severity, csv_rows
 
 
-def write_links_csv(links: DataFrame, path: str) -> None:
-    """The link report, most severe first."""
-    csv_rows(by_severity(links)).drop("link_id").write.mode("overwrite").option("header", "true").csv(path)
+def write_links_csv(links: DataFrame, path: str, columns: list[str] | None = None) -> bool:
+    """The link report, most severe first, quoted so that read_report gives the same cells back. Nothing is written, and False
+    returned, where there are no links.
+    """
+    if links.isEmpty():
+        return False
+    csv_rows(by_severity(links), columns).drop("link_id").write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
+    return True
 
 
 def write_audit(events: DataFrame, path: str) -> None:

@@ -267,3 +267,16 @@ def test_entry_runs(spark):
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names) and {"p2_found", "p3_found"} <= set(names)
     assert entry.entry(spark).count() > 0
+
+
+def test_derived_texts_hold_every_shape(spark, tmp_path):
+    from linkloom.plans.derived import LINES, derived_units
+
+    spark.range(1, 121).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    u = derived_units(spark, str(tmp_path))
+    assert u.count() == 120 and u.where("text is null").count() == 0 and len(LINES) == 60
+    found = D.matches_of(u, [p.id for p in D.ALL])
+    assert {r.pattern_id for r in found.select("pattern_id").distinct().collect()} == {p.id for p in D.ALL}
+    near_misses = ["SP-24-1", "PROT-A-12", "XNCT", "ftp://", "ISSUE", "CSRs", "TMX-1234_", "m7/", "Module 6", "ICH X", "Form XYZ", "May 2"]
+    hits = [r.match for r in found.select("match").collect()]
+    assert not [h for h in hits for n in near_misses if h.startswith(n)]

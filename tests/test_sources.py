@@ -3,8 +3,10 @@
 import zipfile
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from linkloom.operators import reporting as R
 from linkloom.sources import files, sinks
 from tests.conftest import rows
 
@@ -45,6 +47,29 @@ def test_json_lines(spark, tmp_path):
     assert files.read_rules(str(tmp_path / "none.yaml")) == []
 
 
+def test_report_is_read_as_written(spark, tmp_path):
+    schema = "link_id int, source_doc string, link_text string, link_location_descriptor string, target_doc string, target_anchor string, status string, confidence double, error_msg string, detected_by string"
+    links = spark.createDataFrame([(1, "b", 'a "quoted", text', "p", None, None, "unverified", 0.5, None, None), (2, "a", "t", "p", "d", "x", "broken", None, "two words", "r")], schema)
+    assert sinks.write_links_csv(links, str(tmp_path / "r")) and not sinks.write_links_csv(links.limit(0), str(tmp_path / "none"))
+    back = files.read_report(spark, str(tmp_path / "r"))
+    assert back.columns == R.REPORT_COLUMNS and not (tmp_path / "none").exists()
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, R.csv_rows(links).drop("link_id").collect()))
+    assert [(r.kind, r.confidence) for r in R.report_from_rows(back).orderBy("kind").collect()] == [("broken_link", 0.9), ("unverified_link", 0.5)]
+
+
+def test_registries(spark, tmp_path):
+    assert files.read_deprecated_ids(spark, str(tmp_path / "none.yaml")).count() == 0
+    (tmp_path / "ids.yaml").write_text("deprecated:\n  - id: SP-2019-001\n    reason: gone\n  - reason: no id\n")
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        for read in (files.read_rules, lambda p: files.read_deprecated_ids(spark, p)):
+            with pytest.raises(ImportError):
+                read(str(tmp_path / "ids.yaml"))
+    else:
+        assert rows(files.read_deprecated_ids(spark, str(tmp_path / "ids.yaml")).select("id", "reason")) == [("SP-2019-001", "gone")]
+
+
 def test_sinks(spark, tmp_path):
     links = spark.createDataFrame([(1, "b", "t", "p", None, None, "ok", 0.5, None, None), (2, "a", "t", "p", "d", "x", "broken", None, "e", "r")], "link_id int, source_doc string, link_text string, link_location_descriptor string, target_doc string, target_anchor string, status string, confidence double, error_msg string, detected_by string")
     sinks.write_links_csv(links.coalesce(1), str(tmp_path / "csv"))
