@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from linkloom.llm import components, encoding, mixing, overlaps, packing, scans
+from linkloom.plans.data_quality import _path
 from linkloom.runtime import table
 
 
@@ -77,6 +78,18 @@ def p8_found(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_paragraphs, p5_pairs, p5_found, p5_report, p6_placements, p6_found, p6_report, p7_mix, p7_report, p7_found, p8_restored, p8_found)}
 
 SQL = {
+    # examples and what links them (documents, studies) as one graph; every node learns the examples it hangs together with
+    "p1_found": f"""
+WITH RECURSIVE x AS (SELECT DISTINCT example_id, text, source_doc, entities FROM refs_dev WHERE example_id IS NOT NULL),
+k AS MATERIALIZED (
+  SELECT DISTINCT example_id, 'd:' || {_path('source_doc')} AS k FROM x WHERE {_path('source_doc')} IS NOT NULL
+  UNION SELECT example_id, 's:' || lower(substring(text, e.span_start + 1, e.span_end - e.span_start)) FROM (SELECT example_id, text, unnest(entities) AS e FROM x) WHERE e.label = 'STUDY_ID' AND e.span_end > e.span_start AND text IS NOT NULL),
+o AS MATERIALIZED (SELECT k, min(example_id) AS first FROM k GROUP BY 1),
+e AS MATERIALIZED (SELECT DISTINCT o.first AS a, k.example_id AS b FROM k JOIN o USING (k)),
+adj AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS root FROM adj UNION SELECT adj.b, r.root FROM r JOIN adj ON adj.a = r.node),
+g AS (SELECT node, min(root) AS group_id, count(*) AS n FROM r GROUP BY 1)
+SELECT node AS example_id, group_id FROM g WHERE n > 1""",
     # no text is near the capacity, whatever the tokenizer: here a token is taken as four characters
     "p6_found": "SELECT doc_id FROM documents, (SELECT max(capacity_tokens) AS c FROM containers) WHERE length(text) > 4 * c",
     # no source is near the bound, whether sizes are tokens or characters
