@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.runtime import MAX_HEAVY_KEYS, cut
+
 # Document types by what a file name or a text says, in order.
 DOC_TYPES = ["protocol", "sap", "csr", "listing", "appendix", "iss", "ise"]
 SPELLED_TYPES = [("statistical analysis plan", "sap"), ("clinical study report", "csr"), ("integrated summary of safety", "iss"), ("integrated summary of efficacy", "ise")]
 STUDY_NOISE = r"(?:protocol|sap|csr|listings?|appendices|appendix|annex|body|amendment|amd|module|vol)\d*"
 STRUCTURAL = ["SECTION_REF", "TABLE_REF", "FIGURE_REF", "LISTING_REF", "APPENDIX_REF"]
 QUALIFIER_WINDOW = 48
+#: Most tokens of a key under which titles meet, and most keys that a title makes for one size of the other.
+KEY_TOKENS, MOST_KEYS = 3, 60
 
 
 def stem(path: Column) -> Column:
@@ -256,24 +263,60 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     return F.when(union == 0, both_empty).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(union, F.lit(0)))
 
 
+def title_keys(titles: DataFrame, sizes: DataFrame, least: float, of_leaf: bool) -> DataFrame:
+    """(k, columns of ``titles`` but r): keys under which a title meets the similar ones of the sizes ``m`` that the other side has.
+
+    ``r`` holds a title's tokens, rare ones first. Sets of n and m tokens whose similarity is ``least`` or more share o tokens, so
+    the first n - o + l of the one and m - o + l of the other share l; each choice of l of them is a key. l is KEY_TOKENS, or
+    less where that makes more than MOST_KEYS keys. Keys of different tokens may be equal: the similarity decides.
+    """
+    n, m, o, p = (F.col(c) for c in ("n", "m", "o", "p"))
+    of = dict.fromkeys(range(2, KEY_TOKENS + 1), 0)  # most tokens to choose from
+    for l in of:
+        while math.comb(of[l] + 1, l) <= MOST_KEYS:
+            of[l] += 1
+    rows = [(l, q, *c, *["cast(null as int)"] * (KEY_TOKENS - l)) for l, most in of.items() for q in range(l, most + 1) for c in combinations(range(q), l)]
+    choices = titles.sparkSession.sql("VALUES " + ", ".join(f"({', '.join(map(str, r))})" for r in rows)).toDF("shared", "p", *[f"i{j}" for j in range(KEY_TOKENS)])
+    df = titles.withColumn("n", F.size("r")).join(F.broadcast(sizes)).withColumn("o", F.greatest(F.lit(1), F.ceil((n + m) * (least / (1 + least)) - 1e-6)).cast("int")).where(o <= F.least(n, m))
+    each = F.lit(1)
+    for l, most in of.items():
+        each = F.when((o >= l) & (F.greatest(n, m) - o + l <= most), l).otherwise(each)
+    df = df.withColumn("shared", each).withColumn("p", n - o + F.col("shared"))
+    pair = [m, n] if of_leaf else [n, m]
+    kept = [F.col(c) for c in titles.columns if c != "r"]
+    one = df.where("shared = 1").select(F.explode(F.slice("r", F.lit(1), p)).alias("w"), *pair, *kept).select(F.xxhash64(*pair, "w").alias("k"), *kept)
+    return one.unionByName(df.join(F.broadcast(choices), ["shared", "p"]).select(F.xxhash64(*pair, *[F.get("r", F.col(f"i{j}")) for j in range(KEY_TOKENS)]).alias("k"), *kept))
+
+
 def leaf_by_title(references: DataFrame, leaves: DataFrame, least: float = 0.55) -> DataFrame:
     """(ref_id, leaf_id, confidence): the leaf with the most similar title, the first of equals, if ``least`` or more.
 
-    Two token sets of similarity t share one of the rarest (1 - t) part of the tokens of each (prefix filter), so only
-    titles that share such a token are compared; nothing is lost.
+    Each distinct set of tokens is looked up once. No leaf is better than one with the same tokens, and only those better than one
+    with a single further token; both are found by equality. The other sets meet the leaves by keys of their rarest tokens (see
+    title_keys), which all similar sets share, so nothing is lost.
     """
-    left = references.where("title is not null").select("ref_id", words(F.col("title")).alias("t")).where("size(t) > 0")
-    right = leaves.where("title is not null").groupBy(words(F.col("title")).alias("t")).agg(F.min(F.struct("ord", "leaf_id")).alias("l")).where("size(t) > 0")
-    frequency = left.select(F.explode("t").alias("w")).unionByName(right.select(F.explode("t").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-
-    def heads(df: DataFrame, keys: list[str]) -> DataFrame:
-        ranked = df.select(*keys, "t", F.explode("t").alias("w")).join(frequency, "w").groupBy(*keys, "t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
-        keep = F.size("t") - F.ceil(F.size("t") * least).cast("int") + 1
-        return ranked.select(*keys, "t", F.explode(F.slice("r", 1, keep)).alias("x")).select(*keys, "t", F.col("x.w").alias("w"))
-
-    pairs = heads(left, ["ref_id"]).alias("a").join(heads(right, ["l"]).alias("b"), "w").select("ref_id", "l", F.col("a.t").alias("ta"), F.col("b.t").alias("tb")).distinct()
-    scored = pairs.select("ref_id", "l", jaccard(F.col("ta"), F.col("tb")).alias("s")).where(F.col("s") >= least)
-    best = scored.groupBy("ref_id").agg(F.max(F.struct("s", (-F.col("l.ord")).alias("o"), F.col("l.leaf_id").alias("leaf_id"))).alias("b"))
+    left = cut(references.where("title is not null").select("ref_id", F.sort_array(words(F.col("title"))).alias("t"))).where("size(t) > 0")
+    right = cut(leaves.where("title is not null").groupBy(F.sort_array(words(F.col("title"))).alias("t")).agg(F.min(F.struct("ord", "leaf_id")).alias("l"))).where("size(t) > 0")
+    whole = F.struct(F.concat_ws(" ", "t").alias("k"), F.lit(0).alias("more"))
+    less = F.transform("t", lambda w: F.struct(F.concat_ws(" ", F.array_remove("t", w)).alias("k"), F.lit(1).alias("more")))
+    nearest = right.select(F.explode(F.concat(F.array(whole), F.when((F.size("t") - 1) / F.size("t") >= least, less).otherwise(F.array().cast("array<struct<k:string,more:int>>")))).alias("x"), "l").groupBy("x.k").agg(F.min(F.struct("x.more", "l")).alias("x"))
+    asked = cut(left.select("t").distinct().withColumn("k", F.concat_ws(" ", "t")).join(nearest, "k", "left").select("t", (F.size("t") / (F.size("t") + F.col("x.more"))).alias("s"), F.col("x.l").alias("l")))
+
+    counts = right.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    # rows of at most 1,000 tokens, whatever the input; those below come first, in the order of their letters
+    frequent = counts.join(F.broadcast(counts.agg(F.sum("f").alias("all"))), F.col("f") > F.col("all") / MAX_HEAVY_KEYS).select("w", "f")
+
+    def ranked(df: DataFrame) -> DataFrame:
+        tokens = df.select(*df.columns, F.explode("t").alias("w")).join(F.broadcast(frequent), "w", "left").groupBy(*df.columns).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("r"))
+        return tokens.withColumn("r", F.col("r.w"))
+
+    rest = asked.where("l is null").select("t")
+    sizes = lambda df: df.select(F.size("t").alias("m")).distinct()
+    met = title_keys(cut(ranked(rest)), sizes(right), least, False).join(title_keys(cut(ranked(right)), sizes(rest), least, True).select("k", "l"), "k").select("t", "l").distinct()
+    scored = met.join(right.withColumnRenamed("t", "u"), "l").select("t", jaccard(F.col("t"), F.col("u")).alias("s"), "l").where(F.col("s") >= least)
+    order = F.struct("s", (-F.col("l.ord")).alias("o"), F.col("l.leaf_id").alias("leaf_id"))
+    found = asked.where("l is not null").unionByName(scored).groupBy("t").agg(F.max(order).alias("b"))
+    best = left.join(found, "t").groupBy("ref_id").agg(F.max("b").alias("b"))
     return best.select("ref_id", "b.leaf_id", F.round("b.s", 6).alias("confidence"))
 
 

@@ -280,3 +280,32 @@ def test_derived_texts_hold_every_shape(spark, tmp_path):
     near_misses = ["SP-24-1", "PROT-A-12", "XNCT", "ftp://", "ISSUE", "CSRs", "TMX-1234_", "m7/", "Module 6", "ICH X", "Form XYZ", "May 2"]
     hits = [r.match for r in found.select("match").collect()]
     assert not [h for h in hits for n in near_misses if h.startswith(n)]
+
+
+def test_title_similarity_against_brute_force(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(40)]
+    leaves, refs = [], []
+    for i in range(120):
+        n = rnd.choice([1, 2, 3, 5, 6, 6, 7, 9, 12, 20])
+        leaves.append((f"l{i}", " ".join(rnd.sample(vocabulary[: rnd.choice([12, 40])] if n < 12 else vocabulary, n)), i))
+    for i in range(300):
+        t = rnd.choice(leaves)[1].split()
+        t = rnd.sample(t, rnd.randrange(1, len(t) + 1)) + rnd.sample(vocabulary, rnd.randrange(3))
+        refs.append((i, " ".join(t)))
+    twenty = [f"v{k}" for k in range(20)]
+    leaves += [("l900", " ".join(twenty), 900)]
+    refs += [(900, " ".join(twenty[:11])), (901, "w1"), (902, None), (903, "-")]  # 11 of 20 is 0.55
+    want = []
+    for i, t in refs:
+        a = set((t or "").split()) - {"-"}
+        s, o, leaf = max((len(a & set(u.split())) / len(a | set(u.split())), -o, leaf) for leaf, u, o in leaves)
+        if s >= 0.55:
+            want.append((i, leaf, round(s, 6)))
+    dl = spark.createDataFrame(leaves, "leaf_id string, title string, ord int")
+    dr = spark.createDataFrame(refs, "ref_id int, title string")
+    assert rows(Z.leaf_by_title(dr, dl)) == want and (900, "l900", 0.55) in want
+    monkeypatch.setattr(Z, "MOST_KEYS", 4)
+    assert rows(Z.leaf_by_title(dr, dl)) == want
