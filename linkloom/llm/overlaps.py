@@ -1,4 +1,4 @@
-"""Same or near-same texts across splits: winnowed fingerprints, collinear seeds, alignment."""
+"""Same or near-same texts across splits: keys of rare word runs, winnowed fingerprints as collinear seeds, alignment."""
 
 from __future__ import annotations
 
@@ -7,13 +7,15 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.spelling import path_key
-from linkloom.runtime import cut
+from linkloom.runtime import cut, release
 
 #: Texts are near-same if at most one word in EDIT_SHARE of the longer one must be edited.
 EDIT_SHARE = 5
@@ -22,8 +24,14 @@ EDIT_SHARE = 5
 GRAM, WINDOW = 3, 2
 #: Shorter texts also give every pair of words, which near-same texts of 5 words or more always share.
 SHORT, SHORT_GRAM = 20, 2
-#: Records of one fingerprint and side that meet the other side's in one task.
+#: Words per run by which texts meet; texts of at most SHORT_RUNS words also meet by pairs of words.
+RUN, SHORT_RUNS = 3, 5
+#: Counters by which runs are ordered, rare ones first; any order that both sides share keeps all pairs.
+BUCKETS = 1 << 16
+#: Records of one key and side that meet the other side's in one task.
 PER_TASK = 5_000
+#: Keys are shuffled in rounds of PER_ROUND or more, at most MOST_ROUNDS, which bounds the room they need to a share of the input.
+PER_ROUND, MOST_ROUNDS = 2_000_000, 8
 
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
@@ -50,15 +58,6 @@ def fingerprints(words: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def signature(words: list[str]) -> tuple[int, int]:
-    """128 bits, one per hashed word: an edited word changes two of them at most."""
-    s = 0
-    for w in set(words):
-        s |= 1 << (xxhash.xxh64_intdigest(w, 7) & 127)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(s & (1 << 64) - 1), signed(s >> 64)
-
-
 def edits(a: list[str], b: list[str], most: int) -> int | None:
     """Words to insert, delete or replace to make ``a`` equal ``b``; None if more than ``most``. Only the band is filled."""
     if abs(len(a) - len(b)) > most:
@@ -110,30 +109,107 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("example_id"), b.column("side"), pa.array(words, pa.string())], ["example_id", "side", "words"])
 
 
-_PRINT = "fp bigint, class bigint, n int, pos int, sig0 bigint, sig1 bigint, in_train boolean, in_other boolean"
-_PRINT_ARROW = pa.schema([("fp", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig0", pa.int64()), ("sig1", pa.int64()), ("in_train", pa.bool_()), ("in_other", pa.bool_())])
+def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and the words of each text."""
+    lists = pc.split_pattern(words, " ")
+    d = lists.flatten().dictionary_encode()
+    table = np.array([xxhash.xxh64_intdigest(w) for w in d.dictionary.to_pylist()], np.uint64)
+    return table[d.indices.to_numpy()], pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
+def _since(first: np.ndarray) -> np.ndarray:
+    """For each place the places since the last one that ``first`` marks."""
+    at = np.arange(len(first))
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def _runs(h: np.ndarray, n: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each run of q words, ordered by text; the k-th of equal runs of a text has a hash of its own."""
+    text = np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero(np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + q <= np.repeat(n, n))
+    x = np.full(len(at), q, np.uint64)
+    for j in range(q):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[at + j]
+        x ^= x >> np.uint64(29)
+    text = text[at]
+    order = np.lexsort((x, text))
+    x, text = x[order], text[order]
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) | (text[1:] != text[:-1])
+    return text, (x + _since(first).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(16)).astype(np.int64) & (BUCKETS - 1)
+
+
+def least_runs(n: int) -> int:
+    """Fewest runs of RUN words that a text of n words shares with any near-same one, if the longer has over SHORT_RUNS words.
+
+    An edit takes RUN of the runs of the longer one, of N words, at most; N may be anything from n on, and 5 words more never
+    share fewer.
+    """
+    return min(m - RUN + 1 - RUN * (m // EDIT_SHARE) for m in range(max(n, SHORT_RUNS + 1), max(n, SHORT_RUNS + 1) + EDIT_SHARE))
 
 
-def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS, np.int64)
     for b in batches:
-        cols: list[list] = [[] for _ in _PRINT_ARROW]
-        for cls, text, train, other in zip(*(b.column(c).to_pylist() for c in ("class", "words", "in_train", "in_other"))):
-            words = text.split(" ")
-            s0, s1 = signature(words)
-            for fp, pos in fingerprints(words):
-                for col, x in zip(cols, (fp, cls, len(words), pos, s0, s1, train, other)):
-                    col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PRINT_ARROW)], schema=_PRINT_ARROW)
+        if b.num_rows:
+            counts += np.bincount(_bucket(_runs(*_hashes(b.column("words")), RUN)[1]), minlength=BUCKETS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["bucket", "n"])
+
+
+def _print(rank: np.ndarray):
+    """Per text its words, its signature (256 bits, one per hashed word: an edited word changes two of them at most) and its keys:
+    the rarest of its runs, so many that any near-same text has one of them among its own.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, n = _hashes(b.column("words"))
+            bit, starts = (h >> np.uint64(40)).astype(np.int64) & 255, np.cumsum(n) - n
+            sig = [np.bitwise_or.reduceat(np.where(bit >> 6 == lane, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0)), starts).view(np.int64) for lane in range(4)]
+            text, x = _runs(h, n, RUN)
+            order = np.lexsort((x, rank[_bucket(x)], text))
+            text, x = text[order], x[order]
+            first = np.ones(len(x), bool)
+            first[1:] = text[1:] != text[:-1]
+            least = np.array([least_runs(k) for k in range(int(n.max()) + 1)])
+            kept = _since(first) < (n - RUN + 1 - least[n] + 1)[text]
+            short, y = _runs(h, n, SHORT_GRAM)
+            y, short = y[n[short] <= SHORT_RUNS], short[n[short] <= SHORT_RUNS]
+            text, x = np.concatenate([text[kept], short]), np.concatenate([x[kept], y])
+            fps = (x >> np.uint64(32)).astype(np.uint32).view(np.int32)[np.argsort(text, kind="stable")]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(n)))]).astype(np.int32)
+            fps = pa.ListArray.from_arrays(pa.array(offsets), pa.array(fps))
+            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(n, pa.int32()), *map(pa.array, sig), b.column("in_train"), b.column("in_other"), fps], ["class", "n", "s0", "s1", "s2", "s3", "in_train", "in_other", "fps"])
+
+    return prints
+
+
+_PRINTS = "class bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, in_train boolean, in_other boolean, fps array<int>"
+
+
+def seeds(a: list[str], b: list[str], most: int) -> list[tuple[int, int]]:
+    """Positions of equal winnowed fingerprints that are at most ``most`` apart."""
+    at: dict[int, list[int]] = {}
+    for fp, j in fingerprints(b):
+        at.setdefault(fp, []).append(j)
+    return [(i, j) for fp, i in fingerprints(a) for j in at.get(fp, ()) if abs(i - j) <= most]
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: tuple[list, list, list, list] = ([], [], [], [])
-        for ca, cb, wa, wb, seeds in zip(*(b.column(c).to_pylist() for c in ("class_a", "class_b", "words_a", "words_b", "seeds"))):
+        for ca, cb, wa, wb in zip(*(b.column(c).to_pylist() for c in ("class_a", "class_b", "words_a", "words_b"))):
             x, y = wa.split(" "), wb.split(" ")
-            most = max(len(x), len(y)) // EDIT_SHARE
-            if longest_chain([(s["i"], s["j"]) for s in seeds]) >= least_seeds(max(len(x), len(y))) and (d := edits(x, y, most)) is not None:
-                for col, v in zip(rows, (ca, cb, d, max(len(x), len(y)))):
+            n = max(len(x), len(y))
+            if longest_chain(seeds(x, y, n // EDIT_SHARE)) >= least_seeds(n) and (d := edits(x, y, n // EDIT_SHARE)) is not None:
+                for col, v in zip(rows, (ca, cb, d, n)):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32())], ["class_a", "class_b", "n_edits", "n_words"])
 
@@ -152,41 +228,55 @@ def text_classes(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = cut(normal.groupBy("words").agg(F.min("example_id").alias("class"), *sides))
     names = classes.select(F.md5("words").alias("mark"), "class")
     members = cut(normal.select("example_id", "side", "mark").distinct().join(names, "mark").select("example_id", "side", "class"))
+    release(normal)
     return members, classes
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
     """(class_a, class_b, n_edits, n_words): classes of train (a) and of the other splits (b) whose texts are near-same.
 
-    Records meet at equal fingerprints; a join keeps only those whose lengths, positions and word signatures can belong to
-    near-same texts at all, which none of these texts fails. Pairs whose seeds form a chain of the least length are aligned
-    exactly, within the band of as many edits as they may have. A fingerprint of more than PER_TASK records on a side is parted
-    on that side, at any size of the input, and its parts meet those of the other side; nothing is capped.
+    Near-same texts share so many runs of RUN words that one is among the rarest of both (see least_runs); they meet there, and a
+    join keeps only those whose lengths and word signatures can belong to near-same texts at all, which none of these fails.
+    Nothing else is written of a meeting. Pairs whose seeds form a chain of the least length are aligned exactly, within the band
+    of as many edits as they may have. Keys are taken in rounds. A key of more than PER_TASK records on a side is parted on that
+    side, at any size of the input, and its parts meet those of the other side; nothing is capped.
     """
-    prints = cut(classes.mapInArrow(_print, _PRINT))
+    rank = np.zeros(BUCKETS, np.int64)  # one number per counter, whatever the input
+    for bucket, n in classes.mapInArrow(_count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n")).collect():
+        rank[bucket] = n
+    prints = cut(classes.mapInArrow(_print(rank), _PRINTS))
+    rounds = max(1, min(MOST_ROUNDS, -(-(prints.agg(F.sum(F.size("fps"))).first()[0] or 0) // PER_ROUND)))
+    met = None
+    for k in range(rounds):
+        some = cut(_meetings(prints.withColumn("fp", F.explode("fps")).drop("fps").where(F.pmod("fp", F.lit(rounds)) == k)))
+        met = some if met is None else met.unionByName(some)
+        classes.sparkSession._jvm.System.gc()  # lets go of the round's shuffle files
+    words = classes.select("class", "words")
+    texts = met.distinct().join(words.toDF("class_a", "words_a"), "class_a").join(words.toDF("class_b", "words_b"), "class_b")
+    near = cut(texts.mapInArrow(_align, "class_a bigint, class_b bigint, n_edits int, n_words int"))
+    release(prints)
+    return near
+
+
+def _meetings(keys: DataFrame) -> DataFrame:
+    """(class_a, class_b), once each: classes of train and of the other splits with an equal key that may be near-same."""
     n = lambda side: F.ceil(F.count_if(side) / PER_TASK).cast("int")
-    counts = prints.groupBy("fp").agg(n(F.col("in_train")).alias("pa"), n(F.col("in_other")).alias("pb"))
-    # a join, since the fingerprints above PER_TASK grow with the input; few have more than one part
+    counts = keys.groupBy("fp").agg(n(F.col("in_train")).alias("pa"), n(F.col("in_other")).alias("pb"))
+    # a join, since the keys above PER_TASK grow with the input; few have more than one part
     counts = cut(counts.where("pa > 0 and pb > 0 and (pa > 1 or pb > 1)"))
-    pa, pb = F.coalesce("pa", F.lit(1)), F.coalesce("pb", F.lit(1))
+    pa_, pb_ = F.coalesce("pa", F.lit(1)), F.coalesce("pb", F.lit(1))
     mine = lambda parts, salt: F.pmod(F.xxhash64("class", F.lit(salt)), parts).cast("int")
-    spread = prints.join(counts, "fp", "left")
-    left = spread.where("in_train").withColumn("part_a", mine(pa, 1)).withColumn("part_b", F.explode(F.sequence(F.lit(0), pb - 1))).drop("pa", "pb", "in_train", "in_other")
-    right = spread.where("in_other").withColumn("part_b", mine(pb, 2)).withColumn("part_a", F.explode(F.sequence(F.lit(0), pa - 1))).drop("pa", "pb", "in_train", "in_other")
-    a, b = left.alias("a"), right.alias("b")
+    spread = keys.join(counts, "fp", "left")
+    left = spread.where("in_train").withColumn("part_a", mine(pa_, 1)).withColumn("part_b", F.explode(F.sequence(F.lit(0), pb_ - 1))).drop("pa", "pb", "in_train", "in_other")
+    right = spread.where("in_other").withColumn("part_b", mine(pb_, 2)).withColumn("part_a", F.explode(F.sequence(F.lit(0), pa_ - 1))).drop("pa", "pb", "in_train", "in_other")
     most = F.floor(F.greatest("a.n", "b.n") / EDIT_SHARE)
-    bits = F.bit_count(F.col("a.sig0").bitwiseXOR(F.col("b.sig0"))) + F.bit_count(F.col("a.sig1").bitwiseXOR(F.col("b.sig1")))
-    met = a.join(
-        b,
+    bits = sum((F.bit_count(F.col(f"a.s{j}").bitwiseXOR(F.col(f"b.s{j}"))) for j in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
+    met = left.alias("a").join(
+        right.alias("b"),
         (F.col("a.fp") == F.col("b.fp")) & (F.col("a.part_a") == F.col("b.part_a")) & (F.col("a.part_b") == F.col("b.part_b")) & (F.col("a.class") != F.col("b.class"))
-        & (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (F.abs(F.col("a.pos") - F.col("b.pos")) <= most) & (bits <= 2 * most),
-    ).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), F.struct(F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).alias("seed"), F.greatest("a.n", "b.n").alias("n"))
-    pairs = met.groupBy("class_a", "class_b").agg(F.collect_set("seed").alias("seeds"), F.max("n").alias("n"))  # at most one seed per word
-    least = F.greatest(F.lit(1), F.ceil((F.col("n") - 4 * F.floor(F.col("n") / EDIT_SHARE) - 3) / 2))  # least_seeds
-    pairs = pairs.where(F.size(F.array_distinct(F.transform("seeds", lambda s: s["i"]))) >= least)
-    words = classes.select("class", "words")
-    texts = pairs.join(words.toDF("class_a", "words_a"), "class_a").join(words.toDF("class_b", "words_b"), "class_b")
-    return texts.mapInArrow(_align, "class_a bigint, class_b bigint, n_edits int, n_words int")
+        & (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (bits <= 2 * most),
+    )
+    return met.select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
 
 
 def cross_split_pairs(examples: DataFrame) -> DataFrame:

@@ -55,7 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/linkloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table of a ``cut`` before Python ends; nothing that is still to be computed may read it."""
+    _drop(df.sparkSession, df.cut_path)
 
 
 def heavy_keys(df: DataFrame, keys: list[str], least: int = 50_000, share: int = MAX_HEAVY_KEYS) -> DataFrame:

@@ -251,6 +251,22 @@ def test_overlaps_against_brute_force(spark, monkeypatch, per_task):
     assert rows(overlaps.cross_split_pairs(df.limit(0))) == []
 
 
+def test_overlaps_of_templates_shuffle_no_meetings(spark):
+    rnd = random.Random(3)
+    boiler = [[f"b{k}x{j}" for j in range(7)] for k in range(6)]
+    data = []
+    for i in range(600):  # 42 of 60 words are those of all texts, 18 are not
+        words = [w for block in boiler for w in [*block, *(f"w{rnd.randrange(5000)}" for _ in range(3))]]
+        data.append((i, " ".join(words), [], "d", 0, rnd.choice(["train", "dev"]), ""))
+    data += [(900, data[0][1] + " more", [], "d", 0, "train", ""), (901, data[0][1], [], "d", 0, "dev", "")]
+    df = spark.createDataFrame(data, REFS)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = {(r.id_a, r.id_b) for r in overlaps.cross_split_pairs(df).collect()}
+    assert got == brute_pairs(data) and (900, 901) in got
+    assert written() - before < 1_500_000
+
+
 def test_words_ignore_typography():
     assert overlaps.words_of("The ofﬁcial “re-­view” of 5 µg—it’s") == overlaps.words_of("the official \"RE-VIEW\" of 5 μg it's")
 
