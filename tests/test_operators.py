@@ -295,9 +295,9 @@ def test_title_similarity_against_brute_force(spark, monkeypatch):
         t = rnd.choice(leaves)[1].split()
         t = rnd.sample(t, rnd.randrange(1, len(t) + 1)) + rnd.sample(vocabulary, rnd.randrange(3))
         refs.append((i, " ".join(t)))
-    twenty = [f"v{k}" for k in range(20)]
-    leaves += [("l900", " ".join(twenty), 900)]
-    refs += [(900, " ".join(twenty[:11])), (901, "w1"), (902, None), (903, "-")]  # 11 of 20 is 0.55
+    hundred = [f"v{k}" for k in range(100)]
+    leaves += [("l900", " ".join(hundred), 900)]
+    refs += [(900, " ".join(hundred[:55])), (901, "w1"), (902, None), (903, "-")]  # 55 of 100 is 0.55
     want = []
     for i, t in refs:
         a = set((t or "").split()) - {"-"}
